@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagwright.llm.common import load
+from bagwright.llm.common import held_out, load
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,45 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(load(spark, sf_dir, "conversations"))
 
 
+def _classified(spark: SparkSession, sf_dir: str, kind, threshold: float) -> DataFrame:
+    """(doc_id, held_out, score, predicted) by a model of `kind` that learns from rows that aren't held out."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    model = kind.learn(docs, labels, ~held_out(F.col("doc_id"), 5, 0))
+    scored = kind.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bagwright.llm import quality
+
+    return _classified(spark, sf_dir, quality, 0.3)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bagwright.llm import toxicity
+
+    return _classified(spark, sf_dir, toxicity, 0.5)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from bagwright.llm.bpe import Bpe
+
+    docs = load(spark, sf_dir, "documents")
+    bpe = Bpe(public_tokenizers.path("byte_bpe_50k.json")).fit(docs)
+    return bpe.digests(bpe.encode(docs))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bagwright.llm import langid
+
+    docs = load(spark, sf_dir, "documents")
+    filters = langid.learn(docs, ~held_out(F.col("doc_id"), 3, 1))
+    found = langid.identify(docs.select("doc_id", "text"), filters)
+    return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), F.col(langid.LANG).alias("lang_pred"), F.col(langid.SCORE).alias("score"))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagwright.llm.lines import N_DROPPED, N_LINES, dedup_lines
 
@@ -39,6 +78,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_chat": op2_chat,
+    "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
+    "op6_bpe": op6_bpe,
+    "op8_langid": op8_langid,
     "op9_lines": op9_lines,
     "op10_media": op10_media,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,13 +85,21 @@ def spans(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: polynomial prefix sums modulo 2^64, then mixed with the length."""
+def hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of starts and ends: 64-bit hashes of byte spans, polynomial prefix sums modulo 2^64 mixed with the length."""
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, _U)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+    def f(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (total[ends] - total[starts]) * down[starts]
+        return mix(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+    return f
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return hasher(data)(starts, ends)
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
