@@ -42,6 +42,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, toxicity, 0.5)
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bagwright.llm.jaccard import join
+
+    return join(load(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,6 +58,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bagwright.llm.ann import search
+
+    return search(load(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagwright.llm import langid
 
@@ -80,7 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
+    "op5_jaccard": op5_jaccard,
     "op6_bpe": op6_bpe,
+    "op7_neighbours": op7_neighbours,
     "op8_langid": op8_langid,
     "op9_lines": op9_lines,
     "op10_media": op10_media,

@@ -112,7 +112,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k neighbouring hashes."""
     n = max(len(h) - k + 1, 0)
-    out = np.full(n, _U(k) * _U(0xA0761D6478BD642F), _U)
+    out = np.full(n, k * 0xA0761D6478BD642F & (1 << 64) - 1, _U)
     for j in range(k):
         out = mix(out + h[j : j + n]) if j else out + h[:n]
         out = out * _U(0xE7037ED1A0B428DB)
