@@ -24,7 +24,7 @@ from bagwright.llm.textscan import LOWER, chunks, hasher, mix, spans
 BUCKETS = 1 << 22
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 6000
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 2.0, 1.0, 4
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 8.0, 1.0, 4
 STEMS, SEEN = (4, 5, 6, 7, 8), 3
 _U = np.uint64
 
