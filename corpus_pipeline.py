@@ -1,19 +1,73 @@
-"""From documents to token digests in five stages."""
+"""From documents to token digests in five stages.
+
+language ID drops documents whose language is not known (no letter at all); line dedup drops the lines
+that ten documents or more share; the n-gram Jaccard join (five words, similarity 0.8) keeps the
+document with the smallest id of each group; mixing repeats or samples documents until each source has
+its target of words; encoding gives each remaining row's token count and digests.
+
+Stages work on any columns beside doc_id, text and source, which come through; n_chars, where there is
+one, follows the text. Every stage takes empty tables, null texts and repeated rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bagwright.llm import jaccard, langid, lines, mixing
+from bagwright.llm.bpe import Bpe
+from bagwright.llm.common import held_out, load, materialize
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what is `und`: null texts and texts without a letter. Learns as op8 does, from docs itself."""
+    filters = langid.learn(docs, ~held_out(F.col("doc_id"), 3, 1))
+    return langid.identify(docs, filters, only_known=True)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines found in ten documents or more."""
+    out = lines.dedup_lines(docs, min_docs=10).drop(lines.N_LINES, lines.N_DROPPED)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select([F.col(f"`{c}`") for c in docs.columns])
+
 
-STAGES: list = []
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group, and one of repeated rows."""
+    groups = jaccard.join(docs, k=5, percent=80)
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"), F.col("t").alias("_t")).distinct()
+    kept = docs.withColumn("_h", F.xxhash64("text"))
+    return kept.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_h") == F.col("_t")), "left_anti").drop("_h")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources weigh 1, 2, 3, repeating, and none is taken more than three times."""
+    return mixing.mixed_rows(docs, weights=(1, 2, 3), cap=3)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
+    import public_tokenizers
+
+    bpe = Bpe(public_tokenizers.path("byte_bpe_50k.json")).fit(docs)
+    return bpe.digests(bpe.encode(docs))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mix),
+    ("BPE encoding and decoding", encode),
+]
 #: Language ID cannot be expressed in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from bagwright.llm.common import load, materialize
-
     docs = load(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage{k}")
