@@ -34,11 +34,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group, and one of repeated rows."""
-    groups = jaccard.join(docs, k=5, percent=80)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"), F.col("t").alias("_t")).distinct()
-    kept = docs.withColumn("_h", F.xxhash64("text"))
-    return kept.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_h") == F.col("_t")), "left_anti").drop("_h")
+    """Keeps the document with the smallest id of each group, and one of rows that repeat id and text.
+
+    A row without id yields to any document of its group that has one.
+    """
+    groups = materialize(jaccard.join(docs, k=5, percent=80).select("doc_id", "t", "component_id"), "groups")
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+
+    same = F.col("_h").eqNullSafe(F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    gone = named(groups.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct())
+    kept = docs.withColumn("_h", F.xxhash64("text")).join(gone, same, "left_anti")
+    often = named(groups.groupBy("doc_id", "t").count().filter("count > 1"))
+    if not often.isEmpty():
+        kept = kept.join(often, same, "left_anti").unionAll(kept.join(often, same, "left_semi").dropDuplicates(["doc_id", "_h"]))
+    return kept.drop("_h")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
