@@ -32,6 +32,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     p.add_argument("--format", choices=["protocol", "openlineage"], default="protocol")
     p.add_argument("--namespace")
     p.add_argument("--event-time")
+    p.add_argument("--assume", action="append", default=[], choices=["binary_collation", "no_char_padding", "no_nan", "signed_zero_equivalent", "session_time_zone"])
     a = p.parse_args(argv)
     if a.format == "openlineage" and not a.namespace:
         p.error("--format openlineage needs --namespace")
@@ -57,7 +58,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         found = inputs.bundle(spark, texts or [("query_1", sys.stdin.read(), a.dialect)])
     if targets:
         found = found.select(targets)
-    return json.dumps(found.openlineage(a.namespace, a.event_time), indent=2) if a.format == "openlineage" else found.to_json()
+    return json.dumps(found.openlineage(a.namespace, a.event_time), indent=2) if a.format == "openlineage" else found.to_json(a.assume)
 
 
 if __name__ == "__main__":

@@ -293,6 +293,12 @@ def set_type(state: State, name: str, column: str, kind: str) -> Transition:
     return state._moved(name, rows, rows, None)
 
 
+def select(state: State, name: str, rows: Callable[[State], DataFrame]) -> Transition:
+    """A read between writes: the state stays, what it shows is recorded as returned."""
+    shown = rows(state)
+    return Transition(state, state, name, shown.limit(0), shown)
+
+
 Statement = Callable[[State], Transition]
 
 

@@ -40,4 +40,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from bagwright.queries import aggregates, facts, joins, pages, predicates, subqueries, windows, writes  # noqa: F401
+    from bagwright.queries import aggregates, dialects, facts, joins, pages, predicates, subqueries, windows, writes  # noqa: F401

@@ -158,3 +158,20 @@ def _(t):
 @query("chk_check", "SELECT 'check(k > 1)' AS \"constraint\", 'k > 1' AS detail, count(*) AS n FROM (SELECT nullif(c_nationkey % 5, 0) AS k FROM customer) WHERE NOT k > 1 HAVING count(*) > 0")
 def _(t):
     return checked(t, W.Constraint("check", check="k > 1"), t.customer.select(F.expr("nullif(c_nationkey % 5, 0)").alias("k")))
+
+
+@query("dml_nested", "SELECT p_partkey AS id, array_to_string([p_size, p_size + 1], ',') AS sizes, p_brand AS brand FROM part UNION ALL SELECT -1, '9', 'new'")
+def _(t):
+    """Arrays and structs in a written relation."""
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.array("p_size", F.col("p_size") + 1).alias("sizes"), F.struct(F.col("p_brand").alias("brand")).alias("info"))
+    new = t.values("SELECT -1 AS id, array(9) AS sizes, named_struct('brand', 'new') AS info")
+    shown = after(W.insert(W.State({"n": rows}), "n", new), "n")
+    return shown.select("id", F.array_join(F.col("sizes").cast("array<string>"), ",").alias("sizes"), F.col("info.brand").alias("brand"))
+
+
+@query("dml_select_between", f"SELECT count(*) AS n FROM {ACC} WHERE NOT coalesce(amount = 3, FALSE)")
+def _(t):
+    """What a read between two writes sees."""
+    count = lambda s: s["acc"].rows.agg(F.count(F.lit(1)).alias("n"))
+    steps = [lambda s: W.delete(s, "acc", F.col("amount") == 3), lambda s: W.select(s, "acc", count), lambda s: W.truncate(s, "acc")]
+    return W.script(state(t), steps)[1].returning

@@ -50,7 +50,7 @@ def test_domain_kinds_and_affine():
     assert "abd" in D.Domain.prefix("ab") and "ac" not in D.Domain.prefix("ab")
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture()
 def views(spark):
     spark.createDataFrame([], "id int, amount int, status string, customer_id int").createOrReplaceTempView("ords")
     spark.createDataFrame([], "id int, score int").createOrReplaceTempView("custs")
@@ -236,3 +236,38 @@ def test_count_laws():
     assert a.intersect_all(b) == Counts(0, 3) and a.except_all(b) == Counts(0, 5)
     assert a.join(b, "left") == Counts(2, 15) and a.join(b, "full") == Counts(2, 15)
     assert a.limit(3, 1) == Counts(1, 3) and a.aggregate() == Counts(1, 1) and Counts(0, None).cross(Counts(0, 0)) == Counts(0, 0)
+
+
+def test_assumptions(views):
+    sql = "SELECT id FROM ords WHERE status = 'x' AND amount > 1"
+    assert analyse_sql(views, sql).to_json()["exactness"] == "conditional"
+    assert analyse_sql(views, sql, assume=["binary_collation"]).to_json()["exactness"] == "exact"
+    assert analyse_sql(views, "SELECT id FROM ords WHERE amount > 1").to_json()["exactness"] == "exact"
+
+
+@pytest.mark.parametrize(
+    "condition,want",
+    [
+        ("amount > 5 AND amount < 9 AND status = 'x'", (True, True)),
+        ("amount BETWEEN 3 AND 4 OR amount = 9", (True, True)),
+        ("amount IS NULL", (True, True)),
+        ("amount <> 3", (True, True)),
+        ("2 * amount + 1 >= 7 AND id IN (4, 5)", (True, True)),
+        ("amount > 5 AND amount < 3", (None, None)),
+        ("amount > 5 OR id > 3", (None, None)),
+    ],
+)
+def test_witness_rows(views, condition, want):
+    from bagwright.plans import witness
+
+    got = witness.check(views, f"SELECT id FROM ords WHERE {condition}")
+    assert (got["qualifies"], got["rejected"]) == want
+
+
+def test_obligations():
+    from bagwright.plans.witness import NECESSARY, SUFFICIENT, Obligation
+
+    a, b = Obligation("a > 1", SUFFICIENT), Obligation("b > 1")
+    assert a.both(b).strength == SUFFICIENT and a.negated().strength == NECESSARY
+    with pytest.raises(ValueError):
+        a.either(Obligation("c", NECESSARY))
