@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,10 +57,20 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
         for batch in batches:
             if batch.num_rows and (out := f(batch)) is not None:
                 yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the machine: a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def held_out(doc_id, mod: int, rest: int):
     """Column: crc32 of doc_id as text, modulo mod, is rest. A null doc_id counts as the empty text."""
     from pyspark.sql import functions as F

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text scanned at once; a longer single text is scanned alone. Bounds the numpy temporaries.
-CHUNK = 1 << 20
+CHUNK = (1 << 19) - 1
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
