@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bagwright.llm.common import map_batches
+from bagwright.llm.labelled import least_hashes
 from bagwright.llm.textscan import chunks, mix
 
 SAMPLE, GRAMS, SEEN, SHARE = 2000, 60_000, 3, 0.25
@@ -120,8 +121,9 @@ def learn(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
     langs = sorted(totals)
     if not langs:
         return Filters([], 0, np.zeros(0), np.zeros(0, _U), np.zeros(0, np.int64))
-    # The SAMPLE-th least hash of a language bounds its sample; only hashes are ranked, and no more than SAMPLE of a task leave it.
-    ranked = labelled.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= SAMPLE)
+    # The SAMPLE-th least hash of a language bounds its sample; few enough of the least ones are ranked.
+    size = F.element_at(F.create_map(*[F.lit(x) for item in totals.items() for x in item]), F.col("lang"))
+    ranked = labelled.filter(least_hashes(F.col("h"), size, SAMPLE)).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= SAMPLE)
     bound = {r["lang"]: r["m"] for r in ranked.groupBy("lang").agg(F.max("h").alias("m")).collect()}
     index = {x: i for i, x in enumerate(langs)}
     chosen = docs.filter(usable & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("text"))
@@ -129,7 +131,7 @@ def learn(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             lang, h = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            mine = [i for i in range(len(lang)) if h[i] <= bound[lang[i]]]
+            mine = [i for i in range(len(lang)) if h[i] <= bound.get(lang[i], -(1 << 63))]
             if not mine:
                 return None
             text = pc.utf8_lower(pc.fill_null(pc.take(batch.column(2), pa.array(mine)), ""))
