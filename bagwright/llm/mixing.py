@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,25 +36,28 @@ def sizes_and_weights(df: DataFrame, id_col: str, source_col: str, text_col: str
     """(doc_id, source, size, key): words of the text and the sampling key; with keep, before them all columns of df as `_row`."""
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS.encode())] = True
+    text_at = df.columns.index(text_col)
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             size, weight = np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows)
-            for lo, hi, offs, data in chunks(batch.column(batch.num_columns - 1)):
+            for lo, hi, offs, data in chunks(pc.struct_field(batch.column(0), [text_at]) if keep else batch.column(batch.num_columns - 1)):
                 _, _, at = spans(~SPACE[data], offs)
                 size[lo:hi] = np.diff(at)
                 total = np.concatenate([[0], np.cumsum(symbol[data])])
                 share = (total[offs[1:]] - total[offs[:-1]]) / np.maximum(np.diff(offs), 1)
                 weight[lo:hi] = np.clip(1 - 4 * share, LEAST_WEIGHT, 1)
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size), pa.array(weight)], names=[*batch.schema.names[:-1], "size", "weight"])
+            n = batch.num_columns - (not keep)
+            return pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(size), pa.array(weight)], names=[*batch.schema.names[:n], "size", "weight"])
 
         return f
 
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")] if keep else []
-    src = df.select(*row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), u.alias("u"), F.col(text_col).cast("string").alias("text"))
-    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in src.schema.fields[:-1])
+    text = [] if keep else [F.col(text_col).alias("text")]
+    src = df.select(*row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), u.alias("u"), *text)
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in src.schema.fields if f.name != "text")
     out = map_batches(src, make, kinds + "size long, weight double")
     return out.withColumn("key", -F.log("u") / F.col("weight")).drop("u")
 
