@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import mmap
 import os
@@ -34,7 +35,7 @@ from bagwright.llm.common import map_batches, small_batches
 #: Words in the lexicon, and the most that one task reports of its own count.
 LEXICON, PER_TASK = 1 << 16, 1 << 14
 #: Distinct pieces a counter or a worker's memo holds before it is thinned or cleared; longer pieces are not kept.
-MEMO, LONG = 400_000, 64
+MEMO, LONG = 200_000, 64
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _CUT = re.compile(r" (?=\S)")
@@ -111,37 +112,37 @@ class Vocabulary:
                     heapq.heappush(heap, (r[0], x, ids[x], ids[y], r[1]))
         return [i for i in ids if i >= 0]
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Exact merging of many words in step: each round merges every word's best pair."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        classes: dict[int, list[int]] = {}
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Exact merging of many words in step, as bytes of 32-bit ids.
+
+        Words of one length go together: each round merges the best pair of every word that has one, so
+        that all words left are one id shorter.
+        """
+        out = [b""] * len(words)
+        lengths: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if len(w) > LONG:
-                out[i] = np.array(self.merge_long(w), np.int32)
+                out[i] = np.array(self.merge_long(w), np.int32).tobytes()
             elif w:
-                classes.setdefault(max(8, 1 << (len(w) - 1).bit_length()), []).append(i)
-        for width, members in classes.items():
+                lengths.setdefault(len(w), []).append(i)
+        for width, members in lengths.items():
             for lo in range(0, len(members), 20_000):
                 part = np.array(members[lo : lo + 20_000])
-                own = [words[i] for i in part]
-                size = np.array([len(w) for w in own])
-                grid = np.full((len(own), width), -1, np.int64)
-                grid[np.arange(width) < size[:, None]] = self.byte_ids[np.frombuffer(b"".join(own), np.uint8)]
+                grid = self.byte_ids[np.frombuffer(b"".join([words[i] for i in part.tolist()]), np.uint8)].reshape(len(part), width)
                 while len(part):
-                    keys = np.where(grid[:, 1:] >= 0, grid[:, :-1] * self.size + grid[:, 1:], -1)
+                    keys = grid[:, :-1] * self.size + grid[:, 1:]
                     at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
                     rank = np.where(self.pair_keys[at] == keys, self.pair_rank[at], 1 << 40)
-                    best = rank.argmin(1)
-                    row = np.arange(len(part))
-                    live = rank[row, best] < 1 << 40
-                    for i, g in zip(part[~live].tolist(), grid[~live], strict=True):
-                        out[i] = g[g >= 0].astype(np.int32)
+                    best = rank.argmin(1) if rank.shape[1] else np.zeros(len(part), np.int64)
+                    live = rank[np.arange(len(part)), best] < 1 << 40 if rank.shape[1] else np.zeros(len(part), bool)
+                    step, done = 4 * grid.shape[1], grid[~live].astype(np.int32).tobytes()
+                    for k, i in enumerate(part[~live].tolist()):
+                        out[i] = done[k * step : (k + 1) * step]
                     part, grid, best, at = part[live], grid[live], best[live], at[live]
                     row = np.arange(len(part))
                     grid[row, best] = self.pair_id[at[row, best]]
-                    shift = np.minimum(np.arange(width) + (np.arange(width) > best[:, None]), width - 1)
-                    last = np.arange(width) + (np.arange(width) > best[:, None]) >= width
-                    grid = np.where(last, -1, np.take_along_axis(grid, shift, 1))
+                    kept = np.arange(grid.shape[1]) != (best + 1)[:, None]
+                    grid = grid[kept].reshape(len(part), -1) if len(part) else grid
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -255,22 +256,24 @@ class Encoder:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.memo: dict[str, bytes] = {}
 
-    def word_ids(self, words: list[bytes]) -> list[np.ndarray]:
+    def word_ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as bytes of 32-bit integers."""
         place = self.lexicon.find(words)
-        out: list = [None] * len(words)
+        first, ids = self.lexicon.first, self.lexicon.ids
+        out = [b""] * len(words)
         for i in np.flatnonzero(place >= 0).tolist():
-            out[i] = self.lexicon.ids[self.lexicon.first[place[i]] : self.lexicon.first[place[i] + 1]]
+            out[i] = ids[first[place[i]] : first[place[i] + 1]].tobytes()
         unseen = np.flatnonzero(place < 0).tolist()
-        for i, ids in zip(unseen, self.vocabulary.merge([words[i] for i in unseen]), strict=True):
-            out[i] = ids
+        for i, found in zip(unseen, self.vocabulary.merge([words[i] for i in unseen]), strict=True):
+            out[i] = found
         return out
 
     def piece_ids(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids, as bytes of 32-bit integers, of distinct pieces with their leading space."""
         split = [PATTERN.findall(p) for p in pieces]
         words = list({w for s in split for w in s})
-        by_word = {w: ids.tobytes() for w, ids in zip(words, self.word_ids([w.encode() for w in words]), strict=True)}
-        return {p: b"".join([by_word[w] for w in s]) for p, s in zip(pieces, split, strict=True)}
+        by_word = dict(zip(words, self.word_ids([w.encode() for w in words]), strict=True))
+        return {p: by_word[s[0]] if len(s) == 1 else b"".join([by_word[w] for w in s]) for p, s in zip(pieces, split, strict=True)}
 
     def segments(self, text: str) -> list:
         """The text's stretches of ordinary text, and the ids of added tokens between them."""
@@ -286,8 +289,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Memo keys of pieces that follow a cut have no leading space; `\\n` marks a text's first piece."""
         memo = self.memo
-        if len(memo) > MEMO:
+        if len(memo) > MEMO:  # what came first comes often
+            kept = list(itertools.islice(memo.items(), MEMO // 2))
             memo.clear()
+            memo.update(kept)
         plans, wanted = [], set()
         for text in texts:
             plan = []
@@ -330,7 +335,7 @@ def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
                         least *= 2
         words: Counter = Counter()
         for piece, n in seen.items():
-            if len(piece) <= LONG:
+            if n > 1 and len(piece) <= LONG:
                 for w in PATTERN.findall(" " + piece):
                     words[w] += n
         top = heapq.nlargest(PER_TASK, ((n, w) for w, n in words.items() if n > 1))
@@ -364,7 +369,7 @@ class Bpe:
         top = count_words(df, text_col).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow().column(0).to_pylist()
         words = [w.encode() for w in top]
         ids = Vocabulary(self.text).merge(words)
-        self.lexicon = build_transducer({w: i.tolist() for w, i in zip(words, ids, strict=True)})
+        self.lexicon = build_transducer({w: np.frombuffer(i, np.int32).tolist() for w, i in zip(words, ids, strict=True)})
         self.name = hashlib.sha256(self.text + self.lexicon).hexdigest()
         return self
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Rows of text an Arrow batch holds at most; the default of 10,000 is too many for long texts.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

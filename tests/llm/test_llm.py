@@ -332,7 +332,7 @@ def tokenizer():
 def encoder(tokenizer):
     vocabulary = bpe.Vocabulary(open(tokenizer[0], "rb").read())
     common = [b" the", b"the", b"them", b" then", b"straight", "é".encode(), b"hen"]
-    lexicon = bpe.build_transducer({w: i.tolist() for w, i in zip(common, vocabulary.merge(common), strict=True)})
+    lexicon = bpe.build_transducer({w: np.frombuffer(i, np.int32).tolist() for w, i in zip(common, vocabulary.merge(common), strict=True)})
     return bpe.Encoder(vocabulary, bpe.Transducer(lexicon))
 
 
