@@ -70,7 +70,7 @@ class Filters:
 
     def __init__(self, langs: list[str], prior: int, cover: np.ndarray, gram: np.ndarray, lang: np.ndarray):
         self.langs, self.prior, self.cover = langs, prior, np.maximum(cover, 1e-9)
-        self.rows = 1 << max(16, int(16 * max(len(np.unique(gram)), 1) - 1).bit_length())
+        self.rows = 1 << max(16, int(8 * max(len(np.unique(gram)), 1) - 1).bit_length())
         self.bits = np.zeros((self.rows, max(1, -(-len(langs) // 64))), _U)
         for at in self._places(gram):
             np.bitwise_or.at(self.bits, (at, lang >> 6), _U(1) << (lang & 63).astype(_U))
@@ -136,12 +136,18 @@ def learn(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
                 return None
             text = pc.utf8_lower(pc.fill_null(pc.take(batch.column(2), pa.array(mine)), ""))
             of = np.array([index[lang[i]] for i in mine])
-            found = [np.zeros((2, 0), _U)]
+            found: dict[int, list] = {}
             for lo, hi, offs, data in chunks(text):
                 gram, where = grams(data, offs)
-                found.append(np.stack([of[lo:hi][where].astype(_U), gram]))
-            pairs, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0].astype(np.int32)), pa.array(np.ascontiguousarray(pairs[1]).view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                own = of[lo:hi][where]
+                for code in np.unique(of[lo:hi]).tolist():
+                    found.setdefault(code, []).append(np.unique(gram[own == code], return_counts=True))
+            out = []
+            for code, parts in found.items():
+                gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                values, at = np.unique(gram, return_inverse=True)
+                out.append((np.full(len(values), code, np.int32), values.view(np.int64), np.bincount(at, n, len(values)).astype(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["lang", "gram", "n"])
 
         return f
 
