@@ -52,7 +52,7 @@ CELLS, SLICES, BLOCK = 1 << 22, 64, 4096
 #: Of the buckets that a member is in, this many first ones come along, to tell where a pair has met before.
 FIRST_SIGS = 24
 #: A round by nearest partners is followed by another while at least this share of its pairs link.
-WORTH = 0.3
+WORTH = 0.5
 #: Bits that tell which index entries occur twice; they only save shuffling, and save less as entries outnumber them.
 ENTRY_BITS = 1 << 27
 #: Representatives are broadcast up to this many (16 bytes each); beyond it they are joined.
@@ -71,11 +71,11 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(np.array([total & (1 << 64) - 1], _U)).view(np.int64)[0])
 
 
-def _gather(df: DataFrame, arrays, add) -> list:
+def _gather(df: DataFrame, arrays, add) -> list[bytes]:
     """What tasks gather over df's batches in arrays of fixed size, added up slice by slice in two steps.
 
-    arrays(batches) gives a task's arrays, add(old, new) adds new slices of them to old ones. Gives
-    (slice, [arrays]) of each slice, compressed; nothing without a task.
+    arrays(batches) gives a task's arrays, add(old, new) adds new slices of them to old ones. Gives the
+    slices of the last array, compressed; nothing without a task.
     """
     small_batches(df.sparkSession)
     kind = "slice int, task int, parts array<binary>"
@@ -107,8 +107,8 @@ def _gather(df: DataFrame, arrays, add) -> list:
         return pa.Table.from_pylist([pack(key[0].as_py(), 0, total)], schema)
 
     sent = df.withColumn("_task", F.spark_partition_id()).mapInArrow(run, kind)
-    rows = sent.groupBy("slice", "task").applyInArrow(merge, kind).groupBy("slice").applyInArrow(merge, kind).collect()
-    return [[np.frombuffer(zlib.decompress(p), a) for p, a in zip(r["parts"], arrays.kinds, strict=True)] for r in sorted(rows, key=lambda r: r["slice"])]
+    rows = sent.groupBy("slice", "task").applyInArrow(merge, kind).groupBy("slice").applyInArrow(merge, kind).select("slice", F.element_at("parts", -1).alias("part")).collect()
+    return [r["part"] for r in sorted(rows, key=lambda r: r["slice"])]
 
 
 def frequency_classes(df: DataFrame, k: int, text_col: str = "text", cells: int = CELLS) -> tuple[bytes, int]:
@@ -130,7 +130,7 @@ def frequency_classes(df: DataFrame, k: int, text_col: str = "text", cells: int
     found = _gather(df.select(F.col(text_col).cast("string").alias("text")), arrays, add)
     if not found:
         return zlib.compress(bytes(cells), 1), 256
-    counts = np.concatenate([x[0] for x in found])
+    counts = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in found])
     mean = float(counts.mean())
     of = np.minimum(np.floor(8 * np.log2(1 + counts.astype(np.float32))), 255).astype(np.uint8)
     return zlib.compress(of.tobytes(), 1), math.ceil(8 * math.log2(1 + max(16.0, mean + 6 * math.sqrt(mean) + 16)))
@@ -141,8 +141,8 @@ def _places(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (at >> _U(3)).astype(np.int64), np.uint8(1) << (at & _U(7)).astype(np.uint8)
 
 
-def repeated_entries(base: DataFrame) -> bytes:
-    """Bits, compressed, of the index entries that occur more than once; others may share a bit with such."""
+def repeated_entries(base: DataFrame) -> list[bytes]:
+    """Slices of bits, compressed, of the index entries that occur more than once; others may share a bit with such."""
 
     def arrays(batches):
         once, twice = np.zeros(ENTRY_BITS // 8, np.uint8), np.zeros(ENTRY_BITS // 8, np.uint8)
@@ -160,8 +160,7 @@ def repeated_entries(base: DataFrame) -> bytes:
         return [old[0] | new[0], old[1] | new[1] | (old[0] & new[0])]
 
     arrays.kinds = (np.uint8, np.uint8)
-    found = _gather(base.select("sigs"), arrays, add)
-    return zlib.compress(np.concatenate([x[1] for x in found]).tobytes() if found else bytes(ENTRY_BITS // 8), 1)
+    return _gather(base.select("sigs"), arrays, add) or [zlib.compress(bytes(ENTRY_BITS // 8), 1)]
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -249,7 +248,7 @@ def _shared(base: DataFrame) -> DataFrame:
     shared = base.sparkSession.sparkContext.broadcast(repeated_entries(base))
 
     def make():
-        twice = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        twice = np.frombuffer(b"".join(map(zlib.decompress, shared.value)), np.uint8)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             lists = batch.column(1)
