@@ -97,6 +97,11 @@ def _(t):
     return t.events.join(o, (F.col("user_id") == F.col("o_custkey")) & (F.col("o_orderdate") >= F.col("ts"))).select("event_id", "o_orderkey")
 
 
+@query("join_temporal_theta_all", "SELECT e.event_id, o.o_orderkey FROM events e JOIN orders o ON e.user_id = o.o_custkey AND o.o_orderdate >= e.ts")
+def _(t):
+    return t.events.join(t.orders, (F.col("user_id") == F.col("o_custkey")) & (F.col("o_orderdate") >= F.col("ts"))).select("event_id", "o_orderkey")
+
+
 @query("join_self", "SELECT x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey")
 def _(t):
     x, y = t.nation.alias("x"), t.nation.alias("y")

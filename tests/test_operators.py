@@ -209,3 +209,19 @@ def test_salted_join_and_histogram(spark, orders, customers):
     assert joins.salted(a, b, "k", 3).count() == 5
     h = joins.key_histogram(orders, customers, "id", "cid").agg(F.sum("pairs")).collect()[0][0]
     assert h == 5
+
+
+def test_temporal_theta_joins_every_customer(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from bagwright import queries
+
+    queries.load_all()
+    day = [datetime(2024, 1, 1) + timedelta(days=i) for i in range(8)]
+    events = [(i, None if i % 13 == 0 else 15 + i % 12, None if i % 11 == 0 else day[i % 7]) for i in range(60)]
+    placed = [(i, None if i % 17 == 0 else 15 + i % 11, None if i % 19 == 0 else day[i % 8]) for i in range(50)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame(placed, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    want = sorted((e, o) for e, u, ts in events for o, c, at in placed if None not in (u, ts, at) and u == c and at >= ts)
+    assert any(placed[o][1] > 20 for _, o in want)
+    assert sorted(map(tuple, queries.QUERIES["join_temporal_theta_all"](spark, str(tmp_path)).collect())) == want
