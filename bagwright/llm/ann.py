@@ -4,8 +4,9 @@ Equal vectors form one node that carries its k + 1 smallest ids (no query can ne
 are dealt by hash into shards of about SHARD rows; a shard's graph is built in one task: each layer
 links its members to near ones that no kept neighbour is closer to, both ways, and is stored as a flat
 array of neighbours, DEGREE a node at most. Queries come in blocks, descend the layers of every shard's
-graph and sweep the lowest with a beam of BEAM; shards' results are merged. Scores are recomputed in
-double precision from the original components.
+graph with a beam of UPPER and sweep the lowest with one of BEAM; each layer is entered at all members
+that the one above it gave, so that a group of near copies that links only itself does not hold a walk.
+Shards' results are merged. Scores are recomputed in double precision from the original components.
 
 Vectors that are null or empty, zero, or hold null or non-finite components take no part, nor do rows
 without id. Vectors of different length never meet. Exactly repeated rows count once. Ties go to the
@@ -24,6 +25,8 @@ from bagwright.llm.textscan import mix
 
 SHARD, BLOCK = 8192, 2048
 LINKS, NEAR, DEGREE, BEAM = 20, 64, 48, 192
+#: A layer of so many members, which all may link each other, passes all that it reaches on.
+UPPER = NEAR + 1
 _LAYERS = 1 / np.log(16)
 
 
@@ -118,17 +121,18 @@ class Graph:
         return cls(vectors, id_at, ids, [(read(np.int32, m), read(np.int32, m * DEGREE).reshape(m, DEGREE)) for m in sizes])
 
     def _sweep(self, q: np.ndarray, x: np.ndarray, links: np.ndarray, start: np.ndarray, beam: int) -> np.ndarray:
-        """Best members found from each query's start, nearest first, -1 beyond. All queries go in step."""
-        m = len(q)
-        row = np.arange(m)
+        """Best members found from each query's starts (-1: none), nearest first, -1 beyond. All queries go in step."""
+        m, width = start.shape
         seen = np.zeros((m, len(x)), bool)
-        seen[row, start] = True
-        ids = np.full((m, beam), -1, np.int32)
-        dist = np.full((m, beam), np.inf, np.float32)
-        done = np.ones((m, beam), bool)
-        ids[:, 0], done[:, 0] = start, False
-        dist[:, 0] = ((x[start] - q) ** 2).sum(1)
-        live = row
+        ids = np.full((m, max(beam, width)), -1, np.int32)
+        dist = np.full(ids.shape, np.inf, np.float32)
+        done = np.ones(ids.shape, bool)
+        r, c = np.nonzero(start >= 0)
+        seen[r, start[r, c]] = True
+        ids[r, c], done[r, c] = start[r, c], False
+        dist[r, c] = ((x[start[r, c]] - q[r]) ** 2).sum(1)
+        beam = ids.shape[1]
+        live = np.arange(m)
         while len(live):
             open_dist = np.where(done[live], np.inf, dist[live])
             at = open_dist.argmin(1)
@@ -158,12 +162,12 @@ class Graph:
         for lo in range(0, len(queries), 256):
             exact, own = queries[lo : lo + 256], query_ids[lo : lo + 256]
             q = np.clip(exact / self.scale, -1e15, 1e15).astype(np.float32)
-            start = np.full(len(q), self.layers[-1][0][0], np.int32)
+            start = np.full((len(q), 1), self.layers[-1][0][0], np.int32)
             for height in range(len(self.layers) - 1, -1, -1):
                 members, links = self.layers[height]
-                at = np.searchsorted(members, start)
-                found = self._sweep(q, self.small[members], links, at, 1 if height else max(beam, k + 1))
-                start = members[found[:, 0]]
+                at = np.where(start < 0, -1, np.searchsorted(members, start))
+                found = self._sweep(q, self.small[members], links, at, UPPER if height else max(beam, k + 1))
+                start = np.where(found < 0, -1, members[found])
             for i, nodes in enumerate(found):
                 nodes = nodes[nodes >= 0]
                 score = np.sqrt(((self.vectors[nodes] - exact[i]) ** 2).sum(1))

@@ -434,6 +434,26 @@ def test_neighbours_recall_on_the_sample(spark, data):
     assert sum(len(got[q] & {v for _, v in want[q]}) for q in want) >= 0.9 * 10 * len(want)
 
 
+def test_neighbours_recall_beside_a_tight_group():
+    rng = np.random.default_rng(1)
+    sizes = [1500, *[100] * 15, *[12] * 130]  # a third of all rows, and groups that link only themselves
+    centres = rng.normal(size=(len(sizes), 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    vectors = centres[of] + 0.02 * rng.normal(size=(len(of), 64))
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True))[rng.permutation(len(of))]
+    ids, asked = np.arange(len(of)), np.arange(0, len(of), 7)
+    found = defaultdict(set)
+    for q, v, _ in zip(*ann.Graph.build(vectors, np.arange(len(of) + 1), ids).search(asked, vectors[asked], 10), strict=True):
+        found[q].add(v)
+    hits = 0
+    for q in asked:
+        d = ((vectors - vectors[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.99 * 10 * len(asked)
+
+
 # -- 3, 4, 8: models -----------------------------------------------------------------------------
 
 
