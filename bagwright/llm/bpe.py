@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The corpus's most frequent words (counted over all texts) are compiled with their ids into a minimal
-acyclic transducer: an automaton that shares suffixes and whose arcs carry numbers that add up to the
-word's place in the list of id outputs. It is flat arrays in one block of bytes, which each worker maps
-from memory; lookups walk all words of a batch in step. Words that it lacks are merged exactly: the
-pair of the least rank first, the leftmost of equals. Results equal those of the tokenizer file's own
+The corpus's most frequent words of at most LONG characters (counted exactly, over all texts; added
+tokens count as the text they are) are compiled with their ids into a minimal acyclic transducer: an
+automaton that shares suffixes and whose arcs carry numbers that add up to the word's place in the list
+of id outputs. It is flat arrays in one block of bytes, which each worker maps from memory; lookups walk
+all words of a batch in step. Words that it lacks are merged exactly: the pair of the least rank first,
+the leftmost of equals. Results equal those of the tokenizer file's own
 library without special tokens added: added tokens within a text count as such.
 
 Texts are cut before each space that no white space follows, which never cuts a word of the
@@ -32,10 +33,12 @@ from pyspark.sql import functions as F
 
 from bagwright.llm.common import map_batches, small_batches
 
-#: Words in the lexicon, and the most that one task reports of its own count.
-LEXICON, PER_TASK = 1 << 16, 1 << 14
-#: Distinct pieces a counter or a worker's memo holds before it is thinned or cleared; longer pieces are not kept.
+#: Words in the lexicon.
+LEXICON = 1 << 16
+#: Distinct pieces a counter or a worker's memo holds before it is passed on or cleared; longer pieces are not kept in the memo.
 MEMO, LONG = 200_000, 64
+#: Characters of text after which a counter is passed on too, as its pieces may be long.
+COUNTED = 1 << 25
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _CUT = re.compile(r" (?=\S)")
@@ -56,6 +59,18 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
+def cut(text: str) -> list[str]:
+    """A text's pieces without the space before each; a first one that has none is marked by a line feed, an empty one is a space."""
+    pieces = text.split(" ") if not _PLAIN.search(text) else _CUT.split(text)
+    pieces[0] = "\n" + pieces[0] if pieces[0] else " "
+    return pieces
+
+
+def spelt(piece: str) -> str:
+    """The text of a piece of cut()."""
+    return "" if piece == " " else piece[1:] if piece[0] == "\n" else " " + piece
+
+
 class Vocabulary:
     """Merges, token bytes and added tokens of a tokenizer file of the byte-level kind."""
 
@@ -300,13 +315,12 @@ class Encoder:
                 if isinstance(part, int):
                     plan.append(part)
                 elif part:
-                    pieces = part.split(" ") if not _PLAIN.search(part) else _CUT.split(part)
-                    pieces[0] = "\n" + pieces[0] if pieces[0] else " "
+                    pieces = cut(part)
                     plan.append(pieces)
                     wanted.update(pieces)
             plans.append(plan)
         fresh = [p for p in wanted if p not in memo]
-        whole = {p: "" if p == " " else p[1:] if p[0] == "\n" else " " + p for p in fresh}
+        whole = {p: spelt(p) for p in fresh}
         by_text = self.piece_ids(list(set(whole.values())))
         here = {p: by_text[w] for p, w in whole.items()}
         memo.update((p, ids) for p, ids in here.items() if len(p) <= LONG)
@@ -320,26 +334,33 @@ class Encoder:
 
 
 def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n): how often words of the pre-tokenizer occur; each task reports its PER_TASK most frequent ones."""
+    """(word, n): how often each word of the pre-tokenizer of at most LONG characters occurs.
+
+    A task passes its counts on whenever MEMO pieces or COUNTED characters are reached; their sums are exact.
+    """
     small_batches(df.sparkSession)
 
+    def words_of(seen: Counter) -> pa.RecordBatch:
+        words: Counter = Counter()
+        for piece, n in seen.items():
+            for w in PATTERN.findall(spelt(piece)):
+                words[w] += n
+        some = [w for w in words if len(w) <= LONG]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([words[w] for w in some], pa.int64())], names=["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        least = 1
+        read = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(text.split(" "))
-                    while len(seen) > MEMO:
-                        seen = Counter({w: n for w, n in seen.items() if n > least})
-                        least *= 2
-        words: Counter = Counter()
-        for piece, n in seen.items():
-            if n > 1 and len(piece) <= LONG:
-                for w in PATTERN.findall(" " + piece):
-                    words[w] += n
-        top = heapq.nlargest(PER_TASK, ((n, w) for w, n in words.items() if n > 1))
-        yield pa.RecordBatch.from_arrays([pa.array([w for _, w in top], pa.string()), pa.array([n for n, _ in top], pa.int64())], names=["word", "n"])
+                    seen.update(cut(text))
+                    read += len(text)
+                    if len(seen) > MEMO or read > COUNTED:
+                        yield words_of(seen)
+                        seen.clear()
+                        read = 0
+        yield words_of(seen)
 
     return df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

@@ -379,6 +379,16 @@ def test_bpe_query(docs, empty, tokenizer):
     assert none.digests(none.encode(empty)).count() == 0
 
 
+def test_words_are_counted_exactly(spark, monkeypatch):
+    texts = [*TEXTS, *(f"thin{i % 40} two  spaces, {'long' * 20},tail{i % 3}" for i in range(160))]
+    want = Counter(w for t in texts for w in bpe.PATTERN.findall(t or "") if len(w) <= bpe.LONG)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(40)
+    assert {r["word"]: r["n"] for r in bpe.count_words(df).collect()} == want
+    assert {r["word"]: r["n"] for r in bpe.count_words(df.coalesce(1)).collect()} == want
+    monkeypatch.setattr(bpe, "MEMO", 10)
+    assert {r["word"]: r["n"] for r in bpe.count_words(df).collect()} == want
+
+
 def test_long_words(encoder, tokenizer):
     for text in ("x" * 5000, "ab" * 3000, "é" * 1000 + "!" * 700):
         assert encoder.encode([text])[0].tolist() == tokenizer[1].encode(text, add_special_tokens=False).ids
