@@ -499,13 +499,20 @@ class _Joiner:
 
 def join(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
     """(doc_id, t, n_shingles, component_id) of each row; t is a hash of its text."""
+    return groups(df, k, percent, id_col, text_col, cells).drop("first")
+
+
+def groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
+    """join() with `first`, the (no_id, doc_id, t) of the row that leads its group: null ids last; null for an empty set."""
     base = materialize(index(df, k, percent, id_col, text_col, cells), "jac-base")
     labels = _Joiner(df, base, _shared(base), k, percent, id_col, text_col).run()
-    nodes = base.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
+    nodes = base.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(row).alias("first"))
     if labels is None:
-        named = nodes.select("node", F.col("least").alias("component_id"))
+        named = nodes.select("node", F.col("least").alias("component_id"), "first")
     else:
-        nodes = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-        named = nodes.join(nodes.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
+        nodes = nodes.join(labels, "node", "left").select("node", "least", "first", F.coalesce("label", "node").alias("label"))
+        led = nodes.groupBy("label").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+        named = nodes.select("node", "label").join(led, "label").select("node", "component_id", "first")
     out = base.select("doc_id", "t", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
-    return out.select("doc_id", "t", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "t", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "first")

@@ -34,17 +34,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group, and one of rows that repeat id and text.
+    """Keeps one document of each group, the one with the smallest id, and one of rows that repeat id and text.
 
-    A row without id yields to any document of its group that has one.
+    A row without id yields to any document of its group that has one; of several texts under the smallest
+    id, or of a group without ids, the one whose text has the least hash stays.
     """
-    groups = materialize(jaccard.join(docs, k=5, percent=80).select("doc_id", "t", "component_id"), "groups")
+    groups = materialize(jaccard.groups(docs, k=5, percent=80).select("doc_id", "t", "first"), "groups")
 
     def named(df: DataFrame) -> DataFrame:
         return df.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
 
     same = F.col("_h").eqNullSafe(F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    gone = named(groups.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct())
+    leads = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
+    gone = named(groups.filter(F.col("first").isNotNull() & ~leads).select("doc_id", "t").distinct())
     kept = docs.withColumn("_h", F.xxhash64("text")).join(gone, same, "left_anti")
     often = named(groups.groupBy("doc_id", "t").count().filter("count > 1"))
     if not often.isEmpty():

@@ -574,3 +574,17 @@ def test_pipeline(spark, docs, empty, tokenizer):
     for _, stage in pipe.STAGES:
         nothing = stage(spark, nothing, "")
     assert nothing.count() == 0
+
+
+def test_one_document_stays_of_groups_without_or_with_one_id(spark):
+    import corpus_pipeline as pipe
+
+    def near(name):
+        words = [f"{name}{i}" for i in range(80)]
+        return [" ".join([*words[:-1], f"{name}end{i}"]) for i in range(3)]
+
+    data = [*((None, t) for t in near("a")), *((5, t) for t in near("b")), (None, near("c")[0]), (8, near("c")[1]), (8, near("c")[2]), (9, near("c")[0]), (None, "few words"), (None, "few words"), (None, "more")]
+    df = spark.createDataFrame([(d, t, "s0") for d, t in data], "doc_id long, text string, source string")
+    kept = [(r["doc_id"], r["text"].split()[0]) for r in pipe.near_duplicates(spark, df, "").collect()]
+    assert Counter(kept) == Counter([(None, "a0"), (5, "b0"), (8, "c0"), (None, "few"), (None, "more")])
+    assert bag(pipe.near_duplicates(spark, df.repartition(3), "")) == bag(pipe.near_duplicates(spark, df, ""))
