@@ -129,7 +129,10 @@ def mix_table(df: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int =
 
 
 def mixed_rows(df: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 42) -> DataFrame:
-    """The mix itself: each row of df as often as it is taken, whole; the one in which a budget ends comes whole too."""
+    """The mix itself: each row of df as often as it is taken, whole; the one in which a budget ends comes whole too.
+
+    A row without words (null, empty or blank text) is never taken, in whole epochs neither: a mix is made of words.
+    """
     base = materialize(sizes_and_weights(df, id_col, source_col, text_col, seed), "mix-base")
     planned = plan(base, cyclic(weights), cap)
     rows = take(sizes_and_weights(df, id_col, source_col, text_col, seed, keep=True), planned)

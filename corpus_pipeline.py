@@ -3,7 +3,8 @@
 language ID drops documents whose language is not known (no letter at all); line dedup drops the lines
 that ten documents or more share; the n-gram Jaccard join (five words, similarity 0.8) keeps the
 document with the smallest id of each group; mixing repeats or samples documents until each source has
-its target of words; encoding gives each remaining row's token count and digests.
+its target of words, and drops documents without words, such as those that line dedup has emptied;
+encoding gives each remaining row's token count and digests.
 
 Stages work on any columns beside doc_id, text and source, which come through; n_chars, where there is
 one, follows the text. Every stage takes empty tables, null texts and repeated rows.
