@@ -91,6 +91,12 @@ def _(t):
     return top.select("o_custkey", "n", F.rank().over(Window.orderBy(F.desc("n"), "o_custkey")).cast("long").alias("r"))
 
 
+@query("win_over_group_all", "SELECT c_nationkey, c_mktsegment, o_custkey, n, rank() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY n DESC, o_custkey) AS r FROM (SELECT c_nationkey, c_mktsegment, o_custkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, c_mktsegment, o_custkey)")
+def _(t):
+    counts = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "c_mktsegment", "o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("r", F.rank().over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy(F.desc("n"), "o_custkey")).cast("long"))
+
+
 @query("win_ties", f"SELECT o_custkey, g, count(*) AS n FROM {O} GROUP BY o_custkey, g HAVING count(*) > 1")
 def _(t):
     return W.tied(o(t), ["o_custkey"], ["g"])
