@@ -10,7 +10,7 @@ library without special tokens added: added tokens within a text count as such.
 
 Texts are cut before each space that no white space follows, which never cuts a word of the
 pre-tokenizer's pattern. Null texts are empty ones; an empty text has no ids. Whole texts of any length
-are encoded, equal rows give equal results, empty tables empty ones, and extra columns are ignored.
+are encoded, long ones in parts that begin at such cuts; equal rows give equal results, empty tables empty ones, and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from bagwright.llm.common import map_batches, small_batches
 LEXICON = 1 << 16
 #: Distinct pieces a counter or a worker's memo holds before it is passed on or cleared; longer pieces are not kept in the memo.
 MEMO, LONG = 200_000, 64
+#: Characters of a text that are cut into pieces at once.
+PART = 1 << 20
 #: Characters of text after which a counter is passed on too, as its pieces may be long.
 COUNTED = 1 << 25
 #: Fixed value: the pre-tokenizer's pattern.
@@ -66,6 +68,18 @@ def cut(text: str) -> list[str]:
     return pieces
 
 
+def parts(text: str) -> Iterator[str]:
+    """A long text in parts of about PART characters that cut() would cut apart too."""
+    lo = 0
+    while len(text) - lo > PART:
+        found = _CUT.search(text, lo + PART)
+        if not found:
+            break
+        yield text[lo : found.start()]
+        lo = found.start()
+    yield text[lo:]
+
+
 def spelt(piece: str) -> str:
     """The text of a piece of cut()."""
     return "" if piece == " " else piece[1:] if piece[0] == "\n" else " " + piece
@@ -302,6 +316,25 @@ class Encoder:
         return [*out, text[at:]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; texts go together as long as they have PART characters, a longer one in parts."""
+        out: list[np.ndarray] = []
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            if held and size + len(text) > PART:
+                out += self._together(held)
+                held, size = [], 0
+            if len(text) <= PART:
+                held.append(text)
+                size += len(text)
+                continue
+            ids = [np.zeros(0, np.int32)]
+            for part in self.segments(text):
+                ids += [np.array([part], np.int32)] if isinstance(part, int) else [self._together([p])[0] for p in parts(part)]
+            out.append(np.concatenate(ids))
+        return out + self._together(held)
+
+    def _together(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Memo keys of pieces that follow a cut have no leading space; `\\n` marks a text's first piece."""
         memo = self.memo
         if len(memo) > MEMO:  # what came first comes often
@@ -353,9 +386,9 @@ def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
         read = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(cut(text))
-                    read += len(text)
+                for part in parts(text or ""):
+                    seen.update(cut(part))
+                    read += len(part)
                     if len(seen) > MEMO or read > COUNTED:
                         yield words_of(seen)
                         seen.clear()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,25 +21,50 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of ours where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset and Spark runs on one machine, one of ours."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="bagwright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = "file://" + _own_folder()
     return folder.rstrip("/")
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="bagwright-")
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to a Parquet table in the shared folder and returns a scan of it.
 
-    This cuts lineage: a lost executor costs a re-read, not a recomputation.
-    The tables stay until the cluster clears its checkpoint folder.
+    This cuts lineage: a lost executor costs a re-read, not a recomputation. discard() removes a table
+    that nothing reads any more; the others stay until the cluster clears its checkpoint folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/bagwright/{tag}-{uuid.uuid4().hex}"
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables of materialize(); other DataFrames are let be."""
+    for df in tables:
+        if df is not None and (path := vars(df).get("_scratch")):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores before it until no column of `taken` has it (Spark ignores case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagwright.llm.common import materialize
+from bagwright.llm.common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,11 +17,13 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "cc-labels")
     while True:
-        near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        near = edges.join(labels.select("node", "label"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
+        lower = labels.join(near, F.col("node") == F.col("a")).select("node", labels["label"].alias("old"), F.least("label", "m").alias("label"))
         lower = materialize(lower, "cc-lower")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = materialize(lower.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")), "cc-labels")
+        discard(labels, lower)
         if new.filter("old <> label").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+            discard(edges)
+            return new
+        labels = new

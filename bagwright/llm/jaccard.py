@@ -28,8 +28,9 @@ link between components is lost.
 
 Null texts and texts without words have no tokens and link with nothing; each is its own component.
 Rows with a null doc_id take part, but a component is named by its least id that is not null. Repeated
-rows are equal sets. Extra columns are ignored. An empty table gives an empty result. Tokens and nodes
-are 64-bit hashes.
+rows are equal sets. A text of any length is scanned in pieces. Extra columns are ignored. An empty table
+gives an empty result. Tokens are 64-bit hashes; sets are named by such too, with a second one as a check:
+should two sets ever share the first, all starts again with other hashes.
 """
 
 from __future__ import annotations
@@ -44,9 +45,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagwright.llm.common import map_batches, materialize, small_batches, trim
+from bagwright.llm.common import discard, map_batches, materialize, small_batches, trim
 from bagwright.llm.components import components
-from bagwright.llm.textscan import chunks, mix, shingles, words
+from bagwright.llm.textscan import mix, sets
 
 CELLS, SLICES, BLOCK = 1 << 22, 64, 4096
 #: Of the buckets that a member is in, this many first ones come along, to tell where a pair has met before.
@@ -60,14 +61,10 @@ BROADCAST_ROWS = 1 << 20
 _U = np.uint64
 
 
-def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    for _, _, offs, data in chunks(column):
-        yield from shingles(*words(data, offs), k)
-
-
-def node_of(s: np.ndarray) -> int:
-    """One hash of a whole set, as a signed integer."""
-    total = int(mix(s).sum(dtype=_U)) ^ int(np.bitwise_xor.reduce(mix(s ^ _U(0x5851F42D4C957F2D)))) + len(s)
+def node_of(s: np.ndarray, salt: int = 0) -> int:
+    """One hash of a whole set, as a signed integer; another one for each salt."""
+    s = mix(s + _U(salt))
+    total = int(s.sum(dtype=_U)) ^ int(np.bitwise_xor.reduce(mix(s ^ _U(0x5851F42D4C957F2D)))) + len(s)
     return int(mix(np.array([total & (1 << 64) - 1], _U)).view(np.int64)[0])
 
 
@@ -118,8 +115,14 @@ def frequency_classes(df: DataFrame, k: int, text_col: str = "text", cells: int
     def arrays(batches):
         n = np.zeros(cells, np.uint32)
         for batch in batches:
-            for _, _, offs, data in chunks(batch.column(0)):
-                np.add.at(n, np.concatenate(list(shingles(*words(data, offs), k))) >> _U(shift), np.uint32(1))
+            held, size = [], 0
+            for s in itertools.chain(sets(batch.column(0), k), [None]):
+                if held and (s is None or size > 1 << 17):
+                    np.add.at(n, np.concatenate(held) >> _U(shift), np.uint32(1))
+                    held, size = [], 0
+                if s is not None:
+                    held.append(s)
+                    size += len(s)
         return [n]
 
     def add(old, new):
@@ -218,8 +221,8 @@ def signatures(s: np.ndarray, classes: np.ndarray, shift: int, frequent_from: in
     return np.unique(np.concatenate([s[:rare], *(_pairs(s[rare:], need - rare, b, percent) for b in (band, band + 1))]))
 
 
-def index(df: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
-    """(doc_id, t, n, node, bits, sigs) of each row; t is a hash of the text, node null for an empty set."""
+def index(df: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS, salt: int = 0) -> DataFrame:
+    """(doc_id, t, n, node, check, bits, sigs) of each row; t is a hash of the text, node and check two of the set, null for an empty one."""
     packed, frequent_from = frequency_classes(df, k, text_col, cells)
     shared, shift = df.sparkSession.sparkContext.broadcast(packed), 64 - int(cells).bit_length() + 1
 
@@ -227,20 +230,21 @@ def index(df: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col:
         classes = np.frombuffer(zlib.decompress(shared.value), np.uint8)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, node, bits, sigs = [], [], [], []
-            for s in _sets(batch.column(2), k):
+            n, node, check, bits, sigs = [], [], [], [], []
+            for s in sets(batch.column(2), k):
                 n.append(len(s))
-                node.append(node_of(s) if len(s) else None)
+                node.append(node_of(s, salt) if len(s) else None)
+                check.append(node_of(s, salt + 1) if len(s) else None)
                 bits.append(bitmap(s) if len(s) else None)
                 sigs.append(signatures(s, classes, shift, frequent_from, percent).view(np.int64))
             ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs)))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), lists], names=["doc_id", "t", "n", "node", "bits", "sigs"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(bits, pa.binary()), lists], names=["doc_id", "t", "n", "node", "check", "bits", "sigs"])
 
         return f
 
     src = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(src, make, f"doc_id {df.schema[id_col].dataType.simpleString()}, t long, n long, node long, bits binary, sigs array<long>")
+    return map_batches(src, make, f"doc_id {df.schema[id_col].dataType.simpleString()}, t long, n long, node long, check long, bits binary, sigs array<long>")
 
 
 def _shared(base: DataFrame) -> DataFrame:
@@ -265,7 +269,9 @@ def _shared(base: DataFrame) -> DataFrame:
     rows = materialize(rows.join(ends, "sig").distinct(), "jac-members")
     members = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
     one = rows.groupBy("sig").agg(*members).groupBy("c", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
-    return materialize(rows.join(one, "sig", "left_semi"), "jac-buckets")
+    out = materialize(rows.join(one, "sig", "left_semi"), "jac-buckets")
+    discard(rows)
+    return out
 
 
 def _few(df: DataFrame, size: int) -> DataFrame:
@@ -273,7 +279,7 @@ def _few(df: DataFrame, size: int) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_ROWS else df
 
 
-def _token_sets(df: DataFrame, base: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+def _token_sets(df: DataFrame, base: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str, salt: int) -> DataFrame:
     """(node, tokens) of the wanted nodes, from one document each."""
     rep = base.select("node", "doc_id", "t").join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("r"))
     rep = materialize(rep.select(F.col("r.doc_id").alias("rd"), F.col("r.t").alias("rt")), "jac-reps")
@@ -283,15 +289,17 @@ def _token_sets(df: DataFrame, base: DataFrame, wanted: DataFrame, k: int, id_co
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = list(_sets(batch.column(0), k))
-            return pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+            found = list(sets(batch.column(0), k))
+            return pa.RecordBatch.from_arrays([pa.array([node_of(s, salt) if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "tokens"])
 
         return f
 
-    sets = materialize(map_batches(src, make, "node long, tokens binary"), "jac-sets")
-    if sets.count() > size:  # rows that repeat an id and a text
-        sets = materialize(sets.dropDuplicates(["node"]), "jac-sets")
-    return sets
+    out = materialize(map_batches(src, make, "node long, tokens binary"), "jac-sets")
+    discard(rep)
+    if out.count() > size:  # rows that repeat an id and a text
+        twice, out = out, materialize(out.dropDuplicates(["node"]), "jac-sets")
+        discard(twice)
+    return out
 
 
 def _ends(pairs: DataFrame, facts: DataFrame, *names: str) -> DataFrame:
@@ -392,14 +400,24 @@ def _compare(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sides: np
 class _Joiner:
     """The state of the rounds: labels of nodes that have linked, token sets fetched so far."""
 
-    def __init__(self, df: DataFrame, base: DataFrame, buckets: DataFrame, k: int, percent: int, id_col: str, text_col: str):
+    def __init__(self, df: DataFrame, base: DataFrame, buckets: DataFrame, k: int, percent: int, id_col: str, text_col: str, salt: int):
         self.base, self.buckets, self.percent = base, buckets, percent
-        self.fetch = lambda wanted: _token_sets(df, base, wanted, k, id_col, text_col)
+        self.fetch = lambda wanted: _token_sets(df, base, wanted, k, id_col, text_col, salt)
         own = base.select("node", "n", "bits").join(buckets.select("node").distinct(), "node", "left_semi")
         self.facts = materialize(own.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "jac-facts")
         self.labels: DataFrame | None = None
         self.sets: DataFrame | None = None
         self.links: DataFrame | None = None
+        self.used: list[DataFrame] = [self.facts, buckets]
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        """A scratch table that close() removes."""
+        self.used.append(materialize(df, tag))
+        return self.used[-1]
+
+    def close(self) -> None:
+        """Removes scratch tables; labels stay."""
+        discard(*self.used)
 
     def open_buckets(self) -> DataFrame:
         """(sig, node, label, members) of buckets that still hold several components."""
@@ -407,25 +425,27 @@ class _Joiner:
         if self.labels is not None:
             rows = self.buckets.join(self.labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
         ends = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi")
-        return materialize(rows.join(ends.select("sig", "members"), "sig"), "jac-open")
+        return self.keep(rows.join(ends.select("sig", "members"), "sig"), "jac-open")
 
     def verify(self, pairs: DataFrame) -> float:
         """Verifies pairs (a, b) and merges what links; which share of them did."""
-        pairs = materialize(pairs, "jac-pairs")
+        pairs = self.keep(pairs, "jac-pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
-        wanted = materialize(wanted, "jac-wanted")
+        wanted = self.keep(wanted, "jac-wanted")
         if not wanted.isEmpty():
             new = self.fetch(wanted)
+            self.used.append(new)
             self.sets = new if self.sets is None else self.sets.unionAll(new)
         if self.sets is None:
             return 0
-        links = materialize(_verified(pairs, self.sets, self.percent), "jac-links")
+        links = self.keep(_verified(pairs, self.sets, self.percent), "jac-links")
         share = links.count() / max(pairs.count(), 1)
         if not share:
             return 0
         self.links = links if self.links is None else self.links.unionAll(links)
+        discard(self.labels)
         self.labels = components(self.links)
         return share
 
@@ -433,14 +453,14 @@ class _Joiner:
         """Verifies each node against one pseudo-random member of its buckets."""
         hubs = self.buckets.groupBy("sig").agg(F.min_by("node", F.xxhash64("node", F.lit(5))).alias("hub"))
         met = self.buckets.join(hubs, "sig").filter("node <> hub").groupBy("node").agg(F.min_by("hub", F.xxhash64("hub", F.lit(5))).alias("hub"))
-        pairs = materialize(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "jac-star")
+        pairs = self.keep(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "jac-star")
         self.verify(_passing(pairs, self.facts, self.percent))
 
     def block_pairs(self, rows: DataFrame, every: bool) -> DataFrame:
         """Pairs (a, b) from comparing the members of open buckets; see _compare()."""
         if not every:
             largest = rows.groupBy("node", "label").agg(F.max(F.struct("members", "sig")).alias("m")).select("node", "label", F.col("m.sig").alias("sig"))
-            rows = materialize(largest, "jac-largest")
+            rows = self.keep(largest, "jac-largest")
             rows = rows.join(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "sig")
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
         rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
@@ -502,17 +522,22 @@ def join(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", t
     return groups(df, k, percent, id_col, text_col, cells).drop("first")
 
 
-def groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
+def groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS, salt: int = 0) -> DataFrame:
     """join() with `first`, the (no_id, doc_id, t) of the row that leads its group: null ids last; null for an empty set."""
-    base = materialize(index(df, k, percent, id_col, text_col, cells), "jac-base")
-    labels = _Joiner(df, base, _shared(base), k, percent, id_col, text_col).run()
+    base = materialize(index(df, k, percent, id_col, text_col, cells, salt), "jac-base")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
-    nodes = base.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(row).alias("first"))
+    nodes = base.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(row).alias("first"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    nodes = materialize(nodes, "jac-nodes")
+    if not nodes.filter("lo <> hi").isEmpty():  # two sets have one hash: take another
+        return groups(df, k, percent, id_col, text_col, cells, salt + 2)
+    joiner = _Joiner(df, base, _shared(base), k, percent, id_col, text_col, salt)
+    labels = joiner.run()
     if labels is None:
         named = nodes.select("node", F.col("least").alias("component_id"), "first")
     else:
-        nodes = nodes.join(labels, "node", "left").select("node", "least", "first", F.coalesce("label", "node").alias("label"))
-        led = nodes.groupBy("label").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
-        named = nodes.select("node", "label").join(led, "label").select("node", "component_id", "first")
+        led = nodes.join(labels, "node", "left").select("node", "least", "first", F.coalesce("label", "node").alias("label"))
+        least = led.groupBy("label").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+        named = led.select("node", "label").join(least, "label").select("node", "component_id", "first")
+    joiner.close()
     out = base.select("doc_id", "t", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
     return out.select("doc_id", "t", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "first")

@@ -5,7 +5,8 @@ WIDTH bytes are one row of pixels. The decoder tests every chunk's CRC, inflates
 five row filters with numpy. The feature is the sign pattern of the 8 x 8 lowest frequencies of a
 32 x 32 mean-pooled image.
 
-Null counts as the empty text (one row of 0 pixels). Equal texts give equal values; rows are never
+Null counts as the empty text (one row of 0 pixels). A text of any length is one image, filtered in blocks
+of rows; its bytes, pixels and stored form are in memory at once, a few times its size. Equal texts give equal values; rows are never
 merged or dropped, an empty table gives an empty result, other columns are ignored.
 """
 
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from bagwright.llm.common import map_batches
 
 WIDTH = 64
+#: Rows of pixels filtered at once.
+ROWS = 1 << 16
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 _LEVEL = 1
 
@@ -35,20 +38,27 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 
 
 def encode_png(data: bytes, width: int = WIDTH) -> bytes:
-    """A grey PNG of whole rows; each row takes the filter (none, left or up) with the least absolute residue."""
-    rows = np.frombuffer(data, np.uint8).reshape(-1, width)
-    left, up = rows.copy(), rows.copy()
-    left[:, 1:] -= rows[:, :-1]
-    up[1:] -= rows[:-1]
-    forms = (rows, left, up)
-    cost = np.stack([np.abs(f.view(np.int8).astype(np.int16)).sum(1) for f in forms])
-    best = cost.argmin(0).astype(np.uint8)
-    lines = np.empty((len(rows), width + 1), np.uint8)
-    lines[:, 0] = best
-    for k, f in enumerate(forms):
-        lines[best == k, 1:] = f[best == k]
-    head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
-    return _MAGIC + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), _LEVEL)) + _chunk(b"IEND", b"")
+    """A grey PNG of whole rows; each row takes the filter (none, left or up) with the least absolute residue. ROWS go at once."""
+    grid = np.frombuffer(data, np.uint8).reshape(-1, width)
+    packer, packed = zlib.compressobj(_LEVEL), []
+    for lo in range(0, len(grid), ROWS):
+        rows = grid[lo : lo + ROWS]
+        left, up = rows.copy(), rows.copy()
+        left[:, 1:] -= rows[:, :-1]
+        up[1:] -= rows[:-1]
+        if lo:
+            up[0] -= grid[lo - 1]
+        forms = (rows, left, up)
+        cost = np.stack([np.abs(f.view(np.int8).astype(np.int16)).sum(1) for f in forms])
+        best = cost.argmin(0).astype(np.uint8)
+        lines = np.empty((len(rows), width + 1), np.uint8)
+        lines[:, 0] = best
+        for k, f in enumerate(forms):
+            lines[best == k, 1:] = f[best == k]
+        packed.append(packer.compress(lines.tobytes()))
+    packed.append(packer.flush())
+    head = struct.pack(">IIBBBBB", width, len(grid), 8, 0, 0, 0, 0)
+    return _MAGIC + _chunk(b"IHDR", head) + _chunk(b"IDAT", b"".join(packed)) + _chunk(b"IEND", b"")
 
 
 def read_chunks(media: bytes) -> list[tuple[bytes, bytes]]:
@@ -125,12 +135,12 @@ def _pool(x: np.ndarray, n: int) -> np.ndarray:
     at = np.arange(n) * len(x) // n
     if len(x) < n:
         return x[at]
-    return np.add.reduceat(x, at, axis=0) / np.diff([*at, len(x)])[:, None]
+    return np.add.reduceat(x, at, axis=0, dtype=np.float64) / np.diff([*at, len(x)])[:, None]
 
 
 def cosine_hash(pixels: np.ndarray) -> str:
     """16 hex digits: which of the lowest 64 frequencies (but the mean) lie above their median."""
-    small = _pool(_pool(pixels.astype(np.float64), _GRID).T, _GRID).T
+    small = _pool(_pool(pixels, _GRID).T, _GRID).T
     low = np.round(_DCT @ small @ _DCT.T, 6).ravel()
     bits = low > np.median(low[1:])
     bits[0] = False
@@ -142,11 +152,12 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode_png(payload(t)) for t in texts], pa.binary())],
-                names=["doc_id", "n_bytes", "media"],
-            )
+            sizes, media = [], []
+            for t in batch.column(1):
+                data = (t.as_py() or "").encode()
+                sizes.append(len(data))
+                media.append(encode_png(payload(data)))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
         return f
 

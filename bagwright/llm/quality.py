@@ -6,8 +6,9 @@ lookup table. Then the pairs with the greatest remaining gain get tables over co
 trees of one cut each way. A score is the sigmoid of sums of table entries.
 
 Fitted on at most 2 * SAMPLE labelled rows; see labelled.py. Null and empty texts have all-zero
-features and a score of their own; every row, repeated or not, is scored from its whole text; extra
-columns are ignored. Without labels of both classes all scores are 1.
+features and a score of their own; every row, repeated or not, is scored from its whole text, a very long
+one piece by piece; extra columns are ignored. Without labels of both classes all scores are the class
+that there is, 0 without labels.
 """
 
 from __future__ import annotations
@@ -16,15 +17,18 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bagwright.llm.common import map_batches
 from bagwright.llm.labelled import sample
-from bagwright.llm.textscan import LOWER, SPACE, chunks, span_hashes, spans
+from bagwright.llm.textscan import LOWER, SPACE, Distinct, chunks, span_hashes, spans
 
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 8000
+#: Bytes of their features that reach the driver, at most (a row has about 120).
+SAMPLE_BYTES = 16 << 20
 BINS, COARSE, ROUNDS, PAIRS, PAIR_ROUNDS, RATE, RIDGE = 48, 8, 150, 6, 40, 0.1, 5.0
 
 
@@ -46,39 +50,47 @@ CLASSES = {
     "bracket": _class("(){}[]/\"'"),
     "break": _class("\n"),
 }
-WIDE = np.arange(256) >= 128
-NAMES = ["words", "length", *CLASSES, "wide", "distinct", "longest", "lines"]
-
-
-def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """(texts, features) of a chunk."""
-    n, size = len(offs) - 1, np.maximum(np.diff(offs), 1)
-    starts, ends, at = spans(~SPACE[data], offs)
-    words = np.diff(at)
-    some = np.maximum(words, 1)
-    text = np.repeat(np.arange(n), words)
-    length = ends - starts
-
-    def share(inside: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(inside, dtype=np.int64)])
-        return (total[offs[1:]] - total[offs[:-1]]) / size
-
-    h = span_hashes(LOWER[data], starts, ends)
-    order = np.lexsort((h, text))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
-    distinct = np.bincount(text[order], new, n)
-    longest = np.zeros(n)
-    np.maximum.at(longest, text, length)
-    out = [np.log1p(words), np.bincount(text, length, n) / some]
-    out += [share(c[data]) for c in CLASSES.values()]
-    out += [share(WIDE[data]), distinct / some ** 0.9, np.log1p(longest), size / (1 + np.rint(out[2 + list(CLASSES).index("break")] * size))]
-    out[-1] = np.log1p(out[-1])
-    grid = np.stack(out, 1)
-    grid[np.diff(offs) == 0] = 0
+KINDS = CLASSES | {"wide": np.arange(256) >= 128}
+NAMES = ["words", "length", *KINDS, "distinct", "longest", "lines"]
+
+
+def features(column: pa.Array) -> np.ndarray:
+    """(texts, features) of a text column."""
+    n = len(column)
+    words, length, longest, distinct, size = (np.zeros(n) for _ in range(5))
+    counts = np.zeros((len(KINDS), n))
+    row, seen = -1, Distinct()
+    for lo, hi, offs, data in chunks(column):
+        starts, ends, at = spans(~SPACE[data], offs)
+        text, long = np.repeat(np.arange(lo, hi), np.diff(at)), ends - starts
+        words[lo:hi] += np.diff(at)
+        size[lo:hi] += np.diff(offs)
+        length += np.bincount(text, long, n)
+        np.maximum.at(longest, text, long)
+        for k, kind in enumerate(KINDS.values()):
+            total = np.concatenate([[0], np.cumsum(kind[data], dtype=np.int64)])
+            counts[k, lo:hi] += total[offs[1:]] - total[offs[:-1]]
+        h = span_hashes(LOWER[data], starts, ends)
+        if hi - lo == 1:  # maybe a piece of a long text
+            row, seen = (lo, Distinct()) if lo != row else (row, seen)
+            seen.add(h)
+            distinct[lo] = len(seen.values()) if int(size[lo]) == _bytes(column, lo) else 0
+            continue
+        order = np.lexsort((h, text))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
+        distinct += np.bincount(text[order], new, n)
+    some, bytes_ = np.maximum(words, 1), np.maximum(size, 1)
+    lines = 1 + counts[list(KINDS).index("break")]
+    grid = np.stack([np.log1p(words), length / some, *(counts / bytes_), distinct / some**0.9, np.log1p(longest), np.log1p(bytes_ / lines)], 1)
+    grid[size == 0] = 0
     return grid
 
 
+def _bytes(column: pa.Array, row: int) -> int:
+    return pc.binary_length(column[row]).as_py() or 0
+
+
 def _leaf(g, h):
     return -g / (h + RIDGE)
 
@@ -174,24 +186,18 @@ class Additive:
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality") -> Additive | None:
-    def make():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            grid = np.concatenate([features(data, offs) for _, _, offs, data in chunks(batch.column(2))])
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(grid), pa.list_(pa.float64()))], names=["y", "weight", "x"])
-
-        return f
-
-    rows = map_batches(sample(docs, labels, usable, label_col, SAMPLE), make, "y int, weight double, x array<double>").toArrow()
+def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality") -> Additive | float:
+    """The model; without labels of both classes the share of the one that there is, 0 without labels."""
+    rows = sample(docs, labels, usable, label_col, SAMPLE, lambda column: pa.array(list(features(column)), pa.list_(pa.float64())), "array<double>", SAMPLE_BYTES)
     y = rows["y"].to_numpy()
     if len(set(y.tolist())) < 2:
-        return None
+        return float(y.max(initial=0))
     x = np.array(rows["x"].to_pylist())
     order = np.lexsort((*x.T, y))  # tasks end in any order; sums shall not depend on it
     return Additive(x[order], y[order].astype(float), rows["weight"].to_numpy()[order])
 
 
-def score(docs: DataFrame, model: Additive | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Additive | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -199,10 +205,7 @@ def score(docs: DataFrame, model: Additive | None, id_col: str = "doc_id", text_
         model = shared.value
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = np.ones(batch.num_rows)
-            if model is not None:
-                for lo, hi, offs, data in chunks(batch.column(1)):
-                    out[lo:hi] = model.score(features(data, offs))
+            out = np.full(batch.num_rows, model) if isinstance(model, float) else model.score(features(batch.column(1)))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "score"])
 
         return f
