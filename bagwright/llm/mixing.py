@@ -1,16 +1,17 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document gets the key -ln(u) / w: u is uniform, from a digest of seed and doc_id, and w its
-quality weight. Sources share the words of all by their weights, a source at most `cap` times its own
-words; what it cannot take is shared again by weight. A source's target is met by whole epochs over all
-its documents first; the words still missing come from its documents in ascending order of key, the
-last of them cut to fit.
-
-No source is ordered in one task: keys are dealt into buckets of about BUCKET_ROWS rows by a monotone
-map, prefix sums run over the buckets' sums, and rows are ordered only within the one bucket in which
-the budget ends. Null texts have no words; a null source is a source, the last; rows that tie on the
-key at the cut share what is left of the budget evenly, so repeated rows get equal values. Extra
-columns are ignored. An empty table gives an empty mix.
+Each document gets the key -ln(u) / w: u is uniform, from a digest of seed and doc_id (of the text where
+there is no id), and w its quality weight. Sources share the words of all by their weights, a source at
+most `cap` times its own words; what it cannot take is shared again by weight. A source's target is met by
+whole epochs over all its documents first; the words still missing come from its documents in ascending
+order of key, then of a digest of id and text, the last of them cut to fit. Rows that tie on both are
+equal and so interchangeable: the first of them in their place in the table are taken.
+
+No source is ordered in one task: the place at which a budget ends is found by running sums over coarse
+classes of keys, then buckets of about BUCKET_ROWS rows within the one class, then digests within the one
+bucket, then tasks and rows among equal ones, each sum pre-aggregated. Null and blank texts have no words;
+a null source is a source, the last. A text of any length is counted in pieces. Extra columns are ignored,
+or come through in mixed_rows(). An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bagwright.llm.common import map_batches, materialize
+from bagwright.llm.common import discard, map_batches, materialize
 from bagwright.llm.textscan import SPACE, chunks, spans
 
 BUCKET_ROWS = 4096
+#: Buckets of a coarse class.
+COARSE = 4096
 #: Plans of at most this many sources are broadcast.
 BROADCAST_SOURCES = 100_000
 #: The symbols that lower a document's quality weight, and that weight's least value.
@@ -33,33 +37,40 @@ LEAST_WEIGHT = 0.25
 
 
 def sizes_and_weights(df: DataFrame, id_col: str, source_col: str, text_col: str, seed: int, keep: bool = False) -> DataFrame:
-    """(doc_id, source, size, key): words of the text and the sampling key; with keep, before them all columns of df as `_row`."""
+    """(doc_id, source, size, key, tie, no): words of the text, the sampling key, the digest that breaks ties and the row's number.
+
+    With keep, all columns of df come first, as `row`. The result is a scratch table: numbers have to stay as they are.
+    """
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS.encode())] = True
     text_at = df.columns.index(text_col)
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            size, weight = np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows)
+            size, marks, length = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             for lo, hi, offs, data in chunks(pc.struct_field(batch.column(0), [text_at]) if keep else batch.column(batch.num_columns - 1)):
                 _, _, at = spans(~SPACE[data], offs)
-                size[lo:hi] = np.diff(at)
-                total = np.concatenate([[0], np.cumsum(symbol[data])])
-                share = (total[offs[1:]] - total[offs[:-1]]) / np.maximum(np.diff(offs), 1)
-                weight[lo:hi] = np.clip(1 - 4 * share, LEAST_WEIGHT, 1)
+                size[lo:hi] += np.diff(at)
+                total = np.concatenate([[0], np.cumsum(symbol[data], dtype=np.int64)])
+                marks[lo:hi] += total[offs[1:]] - total[offs[:-1]]
+                length[lo:hi] += np.diff(offs)
+            weight = np.clip(1 - 4 * (marks / np.maximum(length, 1)), LEAST_WEIGHT, 1)
             n = batch.num_columns - (not keep)
             return pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(size), pa.array(weight)], names=[*batch.schema.names[:n], "size", "weight"])
 
         return f
 
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")).cast("binary"))
+    name, text = F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    digest = F.md5(F.concat(F.lit(str(seed)), F.coalesce(F.concat(F.lit("|"), name), F.concat(F.lit("~"), text))).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")] if keep else []
-    text = [] if keep else [F.col(text_col).alias("text")]
-    src = df.select(*row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), u.alias("u"), *text)
-    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in src.schema.fields if f.name != "text")
-    out = map_batches(src, make, kinds + "size long, weight double")
-    return out.withColumn("key", -F.log("u") / F.col("weight")).drop("u")
+    tie = F.substring(F.md5(F.concat(F.coalesce(name, F.lit("")), F.lit("|"), text).cast("binary")), 1, 16)
+    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if keep else []
+    own = [] if keep else [F.col(text_col).alias("text")]
+    src = df.select(*row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), u.alias("u"), tie.alias("tie"), *own)
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in src.schema.fields if f.name not in ("text", "row"))
+    schema = T.StructType([*(f for f in src.schema.fields if f.name == "row"), *T.StructType.fromDDL(kinds + "size long, weight double").fields])
+    out = map_batches(src, make, schema).withColumn("key", -F.log("u") / F.col("weight")).withColumn("no", F.monotonically_increasing_id())
+    return materialize(out.drop("u", "weight"), "mix-base")
 
 
 def targets(base: DataFrame, weight: Column, cap: int) -> DataFrame:
@@ -78,8 +89,15 @@ def targets(base: DataFrame, weight: Column, cap: int) -> DataFrame:
     return src.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(level * F.col("w"))).select("source", "source_size", "n", "target")
 
 
+def _upto(df: DataFrame, *by: str) -> DataFrame:
+    """Of (s, rest, size, ...) the row of each source in which the running sum reaches `rest`, with the sum `before` it."""
+    order = Window.partitionBy("s").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("upto", F.sum("size").over(order)).withColumn("before", F.col("upto") - F.col("size"))
+    return df.filter((F.col("upto") >= F.col("rest")) & (F.col("before") < F.col("rest")))
+
+
 def plan(base: DataFrame, weight: Column, cap: int = 3) -> DataFrame:
-    """targets() with epochs, rest (words of the fractional pass), cut (key at which they end), cut_before and cut_ties."""
+    """targets() with epochs, rest (words of the fractional pass) and the row that it ends in: cut (its key, tie and no) and cut_words (the words taken of it)."""
     src = materialize(targets(base, weight, cap), "mix-sources")
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
@@ -87,20 +105,36 @@ def plan(base: DataFrame, weight: Column, cap: int = 3) -> DataFrame:
     src = src.withColumn("rest", (budget - F.col("epochs") * F.col("source_size")).cast("long"))
     src = src.withColumn("rest", F.when(F.col("epochs") >= cap, F.lit(0)).otherwise(F.col("rest")).cast("long"))
     ranged = src.filter("rest > 0").select(F.col("source").alias("s"), "rest", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
-    keyed = base.filter("size > 0").join(_small(ranged), F.col("source").eqNullSafe(F.col("s")))
-    keyed = keyed.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")), F.col("buckets") - 1)).select("s", "rest", "bucket", "key", "size")
-
-    def cut(df: DataFrame, by: str) -> DataFrame:
-        """Of each source the value of `by` in which the running sum reaches `rest`."""
-        upto = F.sum("size").over(Window.partitionBy("s").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
-        return df.withColumn("upto", upto).filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("size") < F.col("rest")))
-
-    sums = keyed.groupBy("s", "rest", "bucket").agg(F.sum("size").alias("size"))
-    edge = cut(sums, "bucket").select(F.col("s").alias("s2"), F.col("bucket").alias("b2"), (F.col("upto") - F.col("size")).alias("before"))
-    within = keyed.join(_small(edge), F.col("s").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
-    within = within.groupBy("s", "before", "key", (F.col("rest") - F.col("before")).alias("rest")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("ties"))
-    at = cut(within, "key").select(F.col("s").alias("s3"), F.col("key").alias("cut"), (F.col("before") + F.col("upto") - F.col("size")).alias("cut_before"), F.col("ties").alias("cut_ties"))
-    return materialize(src.join(at, F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3"), "mix-plan")
+    keyed = base.filter("size > 0").select("source", "key", "tie", "no", "size").join(_small(ranged), F.col("source").eqNullSafe(F.col("s")))
+    # Keys lie between those of weight 1 and of the least weight; the mean of both distributions leaves no bucket much above the mean.
+    spread = 1 - (F.exp(-F.col("key")) + F.exp(-LEAST_WEIGHT * F.col("key"))) / 2
+    bucket = F.least(F.floor(spread * F.col("buckets")), F.col("buckets") - 1)
+    keyed = keyed.withColumn("bucket", bucket).withColumn("part", F.floor(F.col("bucket") / COARSE)).drop("source")
+
+    def inside(df: DataFrame, edge: DataFrame, *by: str) -> DataFrame:
+        """Rows of df in the classes that edge names, with what is still missing there."""
+        edge = edge.select(F.col("s").alias("s2"), (F.col("rest") - F.col("before")).alias("rest2"), *[F.col(c).alias(f"{c}_2") for c in by])
+        same = F.col("s").eqNullSafe(F.col("s2"))
+        for c in by:
+            same = same & (F.col(c) == F.col(f"{c}_2"))
+        return df.join(_small(edge), same).drop("rest", "s2", *[f"{c}_2" for c in by]).withColumnRenamed("rest2", "rest")
+
+    def summed(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy("s", "rest", *by).agg(F.sum("size").alias("size"))
+
+    sums = materialize(summed(keyed, "part", "bucket"), "mix-sums")
+    part = _upto(summed(sums, "part"), "part")
+    bucket = materialize(_upto(inside(sums, part, "part"), "bucket"), "mix-bucket")
+    found = materialize(inside(keyed, bucket, "bucket"), "mix-rows")
+    rows = found.withColumn("task", F.shiftright("no", 33))
+    equal = materialize(_upto(summed(rows, "key", "tie"), "key", "tie"), "mix-equal")
+    twins = inside(rows, equal, "key", "tie")
+    task = materialize(_upto(summed(twins, "task"), "task"), "mix-task")
+    last = _upto(inside(twins, task, "task"), "no")
+    at = last.select(F.col("s").alias("s3"), F.struct("key", "tie", "no").alias("cut"), (F.col("rest") - F.col("before")).alias("cut_words"))
+    out = materialize(src.join(at, F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3"), "mix-plan")
+    discard(src, sums, bucket, found, equal, task)
+    return out
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -110,11 +144,11 @@ def _small(df: DataFrame) -> DataFrame:
 
 def take(base: DataFrame, planned: DataFrame) -> DataFrame:
     """base with source_size, target, epochs and taken: the words that the mix takes of a row, repeats counted."""
-    p = planned.withColumnRenamed("source", "s")
-    out = base.join(_small(p), F.col("source").eqNullSafe(F.col("s"))).drop("s", "n")
-    left = F.floor((F.col("rest") - F.col("cut_before")) / F.col("cut_ties"))
-    part = F.when(F.col("key") < F.col("cut"), F.col("size")).when(F.col("key") == F.col("cut"), F.least(F.col("size"), left)).otherwise(F.lit(0))
-    return out.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long")).drop("rest", "cut", "cut_before", "cut_ties")
+    p = planned.select(F.col("source").alias("s"), "source_size", "target", "epochs", "cut", "cut_words")
+    out = base.join(_small(p), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    own = F.struct("key", "tie", "no")
+    part = F.when((F.col("size") > 0) & (own < F.col("cut")), F.col("size")).when(own == F.col("cut"), F.col("cut_words")).otherwise(F.lit(0))
+    return out.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long")).drop("cut", "cut_words")
 
 
 def cyclic(weights: tuple[float, ...] = (1, 2, 3)) -> Column:
@@ -124,7 +158,7 @@ def cyclic(weights: tuple[float, ...] = (1, 2, 3)) -> Column:
 
 def mix_table(df: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 42) -> DataFrame:
     """(doc_id, source, size, source_size, target, epochs, taken) of each row."""
-    base = materialize(sizes_and_weights(df, id_col, source_col, text_col, seed), "mix-base")
+    base = sizes_and_weights(df, id_col, source_col, text_col, seed)
     return take(base, plan(base, cyclic(weights), cap)).select("doc_id", "source", "size", "source_size", "target", "epochs", "taken")
 
 
@@ -133,8 +167,7 @@ def mixed_rows(df: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int =
 
     A row without words (null, empty or blank text) is never taken, in whole epochs neither: a mix is made of words.
     """
-    base = materialize(sizes_and_weights(df, id_col, source_col, text_col, seed), "mix-base")
-    planned = plan(base, cyclic(weights), cap)
-    rows = take(sizes_and_weights(df, id_col, source_col, text_col, seed, keep=True), planned)
-    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
-    return rows.withColumn("_times", times.cast("int")).filter("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_row.*")
+    base = sizes_and_weights(df, id_col, source_col, text_col, seed, keep=True)
+    rows = take(base, plan(base, cyclic(weights), cap)).filter("taken > 0")
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), times)).alias("copy")).select("row.*")

@@ -107,7 +107,8 @@ ORACLES: dict[str, str] = {
 WITH base AS (
   SELECT doc_id, source,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         -ln((('0x' || substr(md5('42' || coalesce('|' || doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+         substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 16) AS tie,
+         -ln((('0x' || substr(md5('42' || coalesce('|' || doc_id::VARCHAR, '~' || coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
          / greatest(0.25, least(1.0, 1 - 4 * ((strlen(coalesce(text, '')) - strlen(regexp_replace(coalesce(text, ''), '[!#$%&*+/<=>@\\^_|~]+', '', 'g')))::DOUBLE
                                              / greatest(strlen(coalesce(text, '')), 1)))) AS key
   FROM documents),
@@ -129,7 +130,7 @@ plan AS (
 running AS (
   SELECT b.doc_id, b.size, p.source_size, p.target, p.epochs,
          CASE WHEN p.epochs >= 3 THEN 0 ELSE floor(p.target)::BIGINT - p.epochs * p.source_size END AS rest,
-         coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.key, b.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.key, b.tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM base b JOIN plan p ON b.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM running
 """,
@@ -149,13 +150,13 @@ FROM whole w WHERE NOT EXISTS (SELECT 1 FROM heads h WHERE h.i = w.n AND h.head
 """,
     "op9_lines": f"""
 WITH lines AS (
-  SELECT doc_id, i, s[i] AS line,
+  SELECT r, doc_id, i, s[i] AS line,
          translate(trim(s[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_ABC}) AS k
-  FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
-often AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+  FROM (SELECT r, doc_id, s, unnest(range(1, len(s) + 1)) AS i
+        FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+often AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(o.k)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE o.k IS NULL), '')) AS kept_sha256
-FROM lines LEFT JOIN often o USING (k) GROUP BY doc_id
+FROM lines LEFT JOIN often o USING (k) GROUP BY r, doc_id
 """,
 }
