@@ -6,8 +6,10 @@ document with the smallest id of each group; mixing repeats or samples documents
 its target of words, and drops documents without words, such as those that line dedup has emptied;
 encoding gives each remaining row's token count and digests.
 
-Stages work on any columns beside doc_id, text and source, which come through; n_chars, where there is
-one, follows the text. Every stage takes empty tables, null texts and repeated rows.
+Stages work on any columns beside doc_id, text and source, which come through, whatever their names;
+n_chars, where there is one, follows the text. Every stage takes empty tables, null texts, texts of any
+length and repeated rows. Ties are settled alike in every run: between near duplicates by id and then by
+text, between rows at the end of a source's budget as mixing.py says, between languages by code point.
 """
 
 from __future__ import annotations
@@ -28,31 +30,34 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines found in ten documents or more."""
-    out = lines.dedup_lines(docs, min_docs=10).drop(lines.N_LINES, lines.N_DROPPED)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select([F.col(f"`{c}`") for c in docs.columns])
+    kept = lines.dedup_lines(docs, min_docs=10)
+    length = [i for i, c in enumerate(docs.columns) if c == "n_chars"]
+    out = kept.select([F.col(f"`{c}`") for c in kept.columns[: len(docs.columns)]])
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if length else out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group, the one with the smallest id, and one of rows that repeat id and text.
 
     A row without id yields to any document of its group that has one; of several texts under the smallest
-    id, or of a group without ids, the one whose text has the least hash stays.
+    id, or of a group without ids, the one whose text has the least hash stays. Of rows that repeat id and
+    text but differ elsewhere, the one with the least hash of its columns stays.
     """
     groups = materialize(jaccard.groups(docs, k=5, percent=80).select("doc_id", "t", "first"), "groups")
 
     def named(df: DataFrame) -> DataFrame:
-        return df.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+        return df.select(F.col("doc_id").alias("i2"), F.col("t").alias("t2"))
 
-    same = F.col("_h").eqNullSafe(F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    same = F.col("t").eqNullSafe(F.col("t2")) & F.col("i").eqNullSafe(F.col("i2"))
     leads = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
     gone = named(groups.filter(F.col("first").isNotNull() & ~leads).select("doc_id", "t").distinct())
-    kept = docs.withColumn("_h", F.xxhash64("text")).join(gone, same, "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.select(row.alias("row"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("t")).join(gone, same, "left_anti")
     often = named(groups.groupBy("doc_id", "t").count().filter("count > 1"))
     if not often.isEmpty():
-        kept = kept.join(often, same, "left_anti").unionAll(kept.join(often, same, "left_semi").dropDuplicates(["doc_id", "_h"]))
-    return kept.drop("_h")
+        one = kept.join(often, same, "left_semi").groupBy("i", "t").agg(F.min_by("row", F.xxhash64(*[F.col("row").getField(c) for c in docs.columns])).alias("row"))
+        kept = kept.join(often, same, "left_anti").unionAll(one.select("row", "i", "t"))
+    return kept.select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
