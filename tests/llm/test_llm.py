@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -75,10 +76,11 @@ def words(text):
 @settings(max_examples=150, deadline=None)
 def test_words_and_shingles(texts):
     column = pa.array(texts, pa.string())
-    got, want = [], []
-    for _, _, offs, data in textscan.chunks(column, 9):
+    got: list[list[int]] = [[] for _ in texts]
+    for lo, _, offs, data in textscan.chunks(column, 9):  # longer texts come in pieces
         h, at = textscan.words(data, offs)
-        got += [h[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+        for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            got[lo + i] += h[a:b].tolist()
     want = [words(t) for t in texts]
     assert [len(g) for g in got] == [len(w) for w in want]
     ids: dict = {}
@@ -88,6 +90,66 @@ def test_words_and_shingles(texts):
     assert len(set(ids.values())) == len(ids)
 
 
+def test_colliding_strings_have_hashes_of_their_own():
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: "b", 98: "a"})
+    texts = [w for n in (1024, 2048, 4096) for w in (word[:n], word[:n].translate({97: "b", 98: "a"}))]
+    texts += ["x" * n for n in range(1, 40)] + ["x" * n + "y" for n in range(40)] + ["ab" * 8 + "cd" * 8, "cd" * 8 + "ab" * 8]
+    h = [textscan.words(d, o)[0][0] for t in texts for _, _, o, d in textscan.chunks(pa.array([t]))]
+    assert len(set(h)) == len(set(texts))
+
+
+@given(st.lists(st.lists(st.sampled_from(["a", "Bcd", "x" * 30, "é" * 9, "\n", "A.b", " ", "$%", "hate", "z\n\n"]), max_size=60).map(" ".join), min_size=1, max_size=5), st.sampled_from([1, 7, 50]))
+@settings(max_examples=60, deadline=None)
+def test_pieces_of_a_text_give_what_the_whole_gives(texts, most):
+    column = pa.array([*texts, None], pa.string())
+
+    def everything():
+        scanned = list(lines.scan(column))
+        return (
+            [x.tolist() for x in textscan.sets(column, 3)],
+            quality.features(column).round(9).tolist(),
+            [x.tolist() for x in toxicity.features(column)],
+            np.concatenate([x.h for x in scanned]).tolist(),
+            sum(([x.lo + i] * int(n) for x in scanned for i, n in enumerate(np.diff(x.at))), []),
+        )
+
+    whole = everything()
+    before = textscan.CHUNK
+    try:
+        textscan.CHUNK = most
+        assert everything() == whole
+    finally:
+        textscan.CHUNK = before
+
+
+def test_memory_for_a_very_long_text():
+    """A text of 60 MB takes a small multiple of its size in each scan."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from bagwright.llm import jaccard, lines, quality, textscan, toxicity
+word = np.random.default_rng(1).integers(97, 123, (10_000_000, 6), dtype=np.uint8)
+word[:, 5] = 32
+word[::12, 5] = 10
+column = pa.array([word.tobytes().decode()])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+what = sys.argv[1]
+if what == "lines":
+    print(sum(len(x.h) for x in lines.scan(column)))
+else:
+    print(len({"sets": lambda: next(textscan.sets(column, 4)), "quality": lambda: quality.features(column), "toxicity": lambda: list(toxicity.buckets(column))[0]}[what]()))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    for what, most in (("lines", 200), ("sets", 500), ("quality", 400), ("toxicity", 900)):
+        out = subprocess.run([sys.executable, "-c", code, what], capture_output=True, text=True, check=True).stdout.split()
+        assert int(out[1]) < most, (what, out)
+
+
 # -- 10: media -----------------------------------------------------------------------------------
 
 
@@ -107,6 +169,21 @@ def test_png_round_trip_and_all_filters(data, kind):
     assert (media._unfilter(np.full(len(grid), kind), coded) == grid).all()
 
 
+def test_feature_against_a_plain_cosine_transform():
+    rng = np.random.default_rng(5)
+    for height in (1, 5, 32, 100, 333):
+        pixels = rng.integers(0, 256, (height, 64)).astype(np.uint8)
+        bands = [(i * height // 32, max((i + 1) * height // 32, i * height // 32 + 1)) for i in range(32)]
+        small = [[float(pixels[a:b, 2 * x : 2 * x + 2].mean()) for x in range(32)] for a, b in bands]
+        low = []
+        for u in range(8):
+            for v in range(8):
+                low.append(sum(small[y][x] * math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)))
+        middle = sorted(round(x, 6) for x in low[1:])[31]
+        bits = "".join("1" if i and round(x, 6) > middle else "0" for i, x in enumerate(low))
+        assert media.cosine_hash(pixels) == f"{int(bits, 2):016x}"
+
+
 def test_png_checks_fail():
     good = media.encode_png(bytes(64))
     for bad in (b"x" + good[1:], good[:40] + bytes([good[40] ^ 1]) + good[41:], good[:-3], good[:33] + good[-12:][:0]):
@@ -149,19 +226,38 @@ def test_lines(docs, empty, least, most, monkeypatch):
     monkeypatch.setattr(lines.drop_lines, "__defaults__", ("text", 1, most))
     got = lines.dedup_lines(docs, min_docs=least, batches=3)
     assert got.columns == [*docs.columns, lines.N_LINES, lines.N_DROPPED]
+    named = docs.withColumnsRenamed({"n": "_n_lines", "h": "_gone", "t": "_digest"})
+    assert lines.dedup_lines(named, min_docs=least, batches=1).columns == [*named.columns, "__n_lines", "_n_dropped"]
     assert Counter((r["doc_id"], r[lines.N_LINES], r[lines.N_DROPPED], r["text"] or "") for r in got.collect()) == brute_lines(rows(), least)
     assert lines.dedup_lines(empty, min_docs=least).count() == 0
 
 
+def test_lines_that_a_weak_hash_confuses(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: "b", 98: "a"})
+    data = [(i, (word if i < 5 else word.translate({97: "b", 98: "a"})) + f"\nown {i}") for i in range(10)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r["_n_dropped"] for r in lines.dedup_lines(df).collect()} == {0}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(df.withColumn("text", F.substring("text", 1, 2048)), 4, 85).collect()} == {i: 0 if i < 5 else 5 for i in range(10)}
+
+
 def test_runs_are_levelled(spark):
     runs = lines.LineRuns(spark, min_docs=3, fanout=2)
     total = Counter()
     for k in range(7):
-        part = {h: 1 + (h + k) % 2 for h in range(k, k + 5)}
+        part = {(h // 2, h): 1 + (h + k) % 2 for h in range(k, k + 5)}  # keys that share h
         total.update(part)
-        runs.add(spark.createDataFrame(list(part.items()), "h long, n_docs long"))
+        runs.add(spark.createDataFrame([(*key, n) for key, n in part.items()], "h long, g long, n_docs long"))
     assert [len(x) for x in runs.levels] == [1, 1, 1]
-    assert sorted(r["h"] for r in runs.settled().collect()) == sorted(h for h, n in total.items() if n >= 3)
+    assert sorted((r["h"], r["g"]) for r in runs.settled().collect()) == sorted(key for key, n in total.items() if n >= 3)
+    assert [len(x) for x in runs.levels] == [0, 0, 1]
+    more = spark.table(runs.write(spark.createDataFrame([(2, 5, 1), (2, 6, 1)], "h long, g long, n_docs long")))
+    joined = more.join(runs.settled().toDF("h2", "g2").hint("merge"), lines._same(), "left_anti")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bagwright_run")]
 
 
 def test_min_points(docs):
@@ -203,6 +299,25 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix_table(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
 
 
+def test_mixing_takes_its_target_of_tied_rows(spark):
+    """Rows without ids, rows that repeat an id, and equal rows: each source's words come within one document of its target."""
+    texts = {None: [f"w{i % 50} " * (1 + i % 9) for i in range(300)] + ["same words here"] * 200, "a": ["one"] * 1000, "b": [f"long {i} " * 20 for i in range(200)], "c": ["x y"] * 3}
+    data = [(None if i % 3 else 7, t, s) for s, some in texts.items() for i, t in enumerate(some)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.mix_table(df).collect()
+    taken, target, longest = Counter(), {}, Counter()
+    for r in got:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        longest[r["source"]] = max(longest[r["source"]], r["size"])
+    for s, n in target.items():
+        assert int(n) == taken[s], s
+    assert bag(mixing.mix_table(df.repartition(7))) == bag(mixing.mix_table(df.coalesce(1)))
+    plenty = Counter(r["source"] for r in mixing.mixed_rows(df).collect())
+    assert plenty == Counter(r["source"] for r in got for _ in range(-(-r["taken"] // max(r["size"], 1))))
+
+
 def test_mixing_orders_within_buckets(spark, monkeypatch):
     data = [(i, " ".join(["w"] * (1 + i % 9)) + (" $$$" * (i % 4)), None if i % 10 == 0 else f"s{i % 10 % 3}") for i in range(3000)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
@@ -491,6 +606,151 @@ def test_models_take_every_row(spark, docs, empty):
     assert langid.identify(empty, filters).count() == 0
 
 
+def test_sampled_rows_and_bytes_are_bounded(spark):
+    from bagwright.llm import labelled
+
+    labels = spark.createDataFrame([(i % 500, int(i % 500 > 400)) for i in range(5000)], "doc_id long, quality int")
+    texts = [(i, f"text {i}") for i in range(500)] + [(3, f"copy {i}") for i in range(3000)] + [(450, "same")] * 2000
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+
+    def features(column):
+        return pa.array([b"0" * (1000 if len(x.as_py()) < 7 else 10) for x in column], pa.binary())
+
+    rows = labelled.sample(df, labels, F.lit(True), "quality", 200, features, "binary", 1 << 30).to_pylist()
+    n = Counter(r["y"] for r in rows)
+    assert 150 < n[0] <= 200 and 90 <= n[1] <= 102
+    assert all(math.isclose(sum(r["weight"] for r in rows if r["y"] == y), total, rel_tol=0.1) for y, total in ((0, 401), (1, 99)))
+    few = labelled.sample(df, labels, F.lit(True), "quality", 200, features, "binary", 2000).to_pylist()
+    assert 0 < sum(len(r["x"]) for r in few) <= 2000
+    assert labelled.sample(df, labels.limit(0), F.lit(True), "quality", 200, features, "binary", 2000).num_rows == 0
+    assert sorted(map(str, labelled.sample(df.repartition(5), labels, F.lit(True), "quality", 200, features, "binary", 1 << 30).to_pylist())) == sorted(map(str, rows))
+
+
+def test_quality_against_a_plain_loop():
+    rng = np.random.default_rng(2)
+    x = np.stack([rng.normal(size=400), rng.integers(0, 4, 400).astype(float), np.ones(400)], 1)
+    y = (x[:, 0] + (x[:, 1] == 2) + rng.normal(size=400) * 0.3 > 0.5).astype(float)
+    weight = np.where(y > 0, 2.0, 1.0)
+    model = quality.Additive(x, y, weight)
+
+    def place(edges, v):
+        return sum(1 for e in edges if e <= v)
+
+    def leaf(rows, g, h):
+        return -sum(g[i] for i in rows) / (sum(h[i] for i in rows) + quality.RIDGE)
+
+    def gain(rows, g, h):
+        return sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + quality.RIDGE)
+
+    def tree(rows, bins, n, g, h, depth, lo, hi):
+        """Leaf value of each bin from lo to hi."""
+        best, at = 0.0, None
+        for cut in range(lo + 1, hi):
+            a, b = [i for i in rows if bins[i] < cut], [i for i in rows if bins[i] >= cut]
+            new = gain(a, g, h) + gain(b, g, h) - gain(rows, g, h)
+            if new > best + 1e-12:
+                best, at = new, cut
+        if depth == 0 or best <= 1e-9:
+            return [leaf(rows, g, h)] * (hi - lo)
+        a, b = [i for i in rows if bins[i] < at], [i for i in rows if bins[i] >= at]
+        return tree(a, bins, n, g, h, depth - 1, lo, at) + tree(b, bins, n, g, h, depth - 1, at, hi)
+
+    tables = [[0.0] * len(t) for t in model.tables]
+    bins = [[place(e, v) for v in x[:, k]] for k, e in enumerate(model.edges)]
+    total = [model.base] * len(y)
+    small = quality.Additive.__new__(quality.Additive)
+    for _ in range(2):  # the first rounds decide as the plain loop does; further ones repeat them
+        for k in range(3):
+            p = [1 / (1 + math.exp(-t)) for t in total]
+            g, h = [w * (q - v) for w, q, v in zip(weight, p, y, strict=True)], [w * q * (1 - q) for w, q in zip(weight, p, strict=True)]
+            found = tree(range(len(y)), bins[k], len(tables[k]), g, h, 2, 0, len(tables[k]))
+            tables[k] = [a + quality.RATE * b for a, b in zip(tables[k], found, strict=True)]
+            total = [t + quality.RATE * found[b] for t, b in zip(total, bins[k], strict=True)]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "ROUNDS", 2)
+        patch.setattr(quality, "PAIR_ROUNDS", 0)
+        small.__init__(x, y, weight)
+    assert all(np.allclose(a, b) for a, b in zip(small.tables, tables, strict=True))
+    for i in (0, 7, 99):  # a score is the sigmoid of table entries
+        s = model.base + sum(model.tables[k][place(model.edges[k], x[i, k])] for k in range(3))
+        s += sum(t[place(model.coarse[a], x[i, a]), place(model.coarse[b], x[i, b])] for (a, b), t in model.pairs.items())
+        assert math.isclose(model.score(x[i : i + 1])[0], 1 / (1 + math.exp(-s)))
+
+
+def test_quality_features_by_hand():
+    text = "Ab ab, 12!\n\nÉé {x}"
+    got = dict(zip(quality.NAMES, quality.features(pa.array([text]))[0], strict=True))
+    size = len(text.encode())
+    assert math.isclose(got["words"], math.log1p(5)) and math.isclose(got["length"], (2 + 3 + 3 + 4 + 3) / 5)
+    assert math.isclose(got["digit"], 2 / size) and math.isclose(got["wide"], 4 / size) and math.isclose(got["break"], 2 / size)
+    assert math.isclose(got["distinct"], 5 / 5**0.9) and math.isclose(got["longest"], math.log1p(4)) and math.isclose(got["lines"], math.log1p(size / 3))
+
+
+def test_ftrl_against_a_scalar_one():
+    rng = np.random.default_rng(4)
+    model = toxicity.Ftrl(50)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == 50 else toxicity.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(600):
+        found = np.append(np.flatnonzero(rng.random(50) < 0.2), 50)
+        y, w = int(found[0] < 3), 1.0 + (found[0] % 2)
+        model.update(found, y, w)
+        old = {i: weight(i) for i in found.tolist()}
+        g = w * (1 / (1 + math.exp(-sum(old.values()))) - y)
+        for i, v in old.items():
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * v
+            n[i] += g * g
+    assert np.allclose(model.z, [z[i] for i in range(51)]) and np.allclose(model.n, [n[i] for i in range(51)])
+    at, w, base = model.sparse()
+    assert 0 < len(at) < 50 and at.tolist() == [i for i in range(50) if weight(i)] and np.allclose(w, [weight(i) for i in at]) and math.isclose(base, weight(50))
+
+
+def test_toxicity_features_by_hand():
+    text = "Hate you, YOU hateful-é"
+    w = ["hate", "you", "you", "hateful", "é"]
+    one = lambda s: textscan.span_hashes(np.frombuffer(s.encode(), np.uint8), np.array([0]), np.array([len(s.encode())]))[0]
+    pair = lambda a, b, gap: textscan.mix(one(a) * np.uint64(3) + textscan.mix(np.array([one(b)]) + np.uint64(gap)))[0]
+    want = {one(x) for x in w} | {one("hateful"[:k]) ^ np.uint64(k) for k in (4, 5, 6)}
+    with np.errstate(over="ignore"):
+        want |= {pair(a, b, gap) for gap in (1, 2) for a, b in zip(w, w[gap:], strict=False)}
+    assert toxicity.features(pa.array([text]))[0].tolist() == sorted({int(x) >> 42 for x in want})
+
+
+def test_filters_hold_what_they_learned(spark):
+    own = {"aa": "alba casa nova verde", "bb": "wald haus neu gruen", "cc": "casa haus piccolo"}
+    data = [(i, f"{t} {t.split()[i % 3]}", x) for i in range(12) for x, t in own.items()]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    filters = langid.learn(df, F.lit(True))
+
+    def plain(text):
+        t = "".join(c if "a" <= c <= "z" else " " for c in text)
+        return [g for n in langid.SIZES for p in [f" {t} "] for i in range(len(p) - n + 1) for g in [p[i : i + n]] if " " not in g[1:-1]]
+
+    counts = {x: Counter(g for _, t, y in data if y == x for g in plain(t)) for x in own}
+    seen = {x: Counter() for x in own}
+    distinct = {x: {t for _, t, y in data if y == x} for x in own}
+    times = Counter(t for _, t, _ in data)
+    for x, texts in distinct.items():
+        for t in texts:
+            for g in plain(t):
+                seen[x][g] += 1 + int(math.log2(times[t]))
+    assert all(set(seen[x]) == set(counts[x]) for x in own)
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in seen.items()}
+    kept = {x: {g for g, n in c.items() if n >= langid.SEEN and share[x][g] >= langid.SHARE * max(share[y].get(g, 0) for y in own)} for x, c in seen.items()}
+    texts = [t for _, t, _ in data]
+    for lo, hi, offs, raw in textscan.chunks(pa.array(texts)):
+        hit, n = filters.hits(raw, offs)
+        for i in range(lo, hi):
+            want = [sum(g in kept[x] for g in plain(texts[i])) for x in filters.langs]
+            assert n[i - lo] == len(plain(texts[i]))
+            assert all(a >= b for a, b in zip(hit[i - lo], want, strict=True))  # no false negatives
+            assert hit[i - lo].tolist() == want  # and in so empty filters no false positives either
+
+
 def test_many_languages(spark):
     own = [f"{a}{b}{a}zq" for a in "bcdfghjklm" for b in "aeiouyw"]
     data = [(i, f"{own[i % 70]}ord and {own[i % 70]}ore", f"l{i % 70:02d}") for i in range(420)]
@@ -510,8 +770,8 @@ def accuracy(spark, data, name, column, threshold=None):
     return good / total
 
 
-def test_held_out_accuracy(spark):
-    data = "/root/testdata/sf0.1"
+def test_held_out_accuracy(spark, data):
+    data = os.path.join(os.path.dirname(data), "sf0.1")
     assert accuracy(spark, data, "op8_langid", ("documents", "lang", "lang_pred")) > 0.99
     assert accuracy(spark, data, "op3_quality", ("labels", "quality", "predicted")) > 0.97
     assert accuracy(spark, data, "op4_toxicity", ("labels", "toxic", "predicted")) > 0.97
@@ -528,11 +788,12 @@ def test_query_against_sql(spark, duck, data, name):
 
 
 def test_sql_of_odd_documents(spark, docs, tmp_path):
-    """The SQL holds on the odd documents too; rows that repeat an id are left to the brute-force tests."""
+    """The SQL holds on the odd documents too, rows without ids and rows that repeat one among them."""
     import duckdb
 
-    one = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", "n_chars")
-    one.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    again = spark.createDataFrame([(i % 2 or None, f"shared line\nown line {i % 4} " + "w " * (i % 5), "en", "s1", None) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    some = docs.select("doc_id", "text", "lang", "source", "n_chars").unionAll(again)
+    some.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     for name in ("op1_mix", "op9_lines"):
@@ -576,6 +837,20 @@ def test_pipeline(spark, docs, empty, tokenizer):
     assert nothing.count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as pipe
+
+    names = ["_h", "_id", "_n_lines", "_n_dropped", "_digest", "_gone", "_times", "_row", "row", "i", "t", "i2", "t2", "key", "tie", "no", "first", "copy", "_lang_pred"]
+    data = [(i % 20, f"shared line\nwords of {i % 15} that are all its own {i % 15}", "en", f"s{i % 2}", *range(len(names))) for i in range(30)]
+    docs = spark.createDataFrame(data, ["doc_id", "text", "lang", "source", *names])
+    for name, stage in pipe.STAGES[:-1]:
+        columns, docs = docs.columns, stage(spark, docs, "")
+        got = docs.collect()
+        assert docs.columns == columns and got, name
+        assert all(tuple(r)[4:] == tuple(range(len(names))) for r in got), name
+    assert pipe.STAGES[-1][1](spark, docs, "").count() == len(got)
+
+
 def test_one_document_stays_of_groups_without_or_with_one_id(spark):
     import corpus_pipeline as pipe
 
