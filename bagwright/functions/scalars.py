@@ -16,8 +16,8 @@ def simple_case(value: Column, arms: Mapping, default=None) -> Column:
 
 
 def integer_divide(a: Column, b: Column) -> Column:
-    """Division of integers that truncates towards zero."""
-    return ((a - a % b) / b).cast("long")
+    """Division of integers that truncates towards zero, exact for all of them; NULL by zero."""
+    return F.call_function("div", a, F.nullif(b, F.lit(0)))
 
 
 def safe_cast(value: Column, kind: str) -> Column:

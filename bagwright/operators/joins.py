@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,11 +32,23 @@ def natural(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return left.join(right, shared, how) if shared else left.crossJoin(right)
 
 
-def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, values: Sequence[str], tie: str, how: str = "left") -> DataFrame:
+def asof(
+    left: DataFrame,
+    right: DataFrame,
+    by: Sequence[str],
+    left_on: str,
+    right_on: str,
+    values: Sequence[str],
+    tie: str,
+    how: str = "left",
+    slices: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """Each left row with `values` of the nearest right row at or before it, of rows at one time the greatest `tie`.
 
     Both sides are merged and read once in time order within `by`: one shuffle, and no pairs are made,
     however dense the right side is. The right side's columns come out under the names in `values`.
+    slices, a rising function of time (such as its day), cuts a hot key: slices are ordered apart, and each
+    takes over the last right row before it from a table of one row a slice.
     """
     if clash := set(values) & set(left.columns):
         raise ValueError(f"rename these first: {sorted(clash)}")
@@ -44,12 +56,27 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, rig
     got = F.struct(*[F.col(c) for c in values])
     a = left.select(*by, F.col(left_on).alias("_at"), F.lit(1).alias("_side"), F.lit(None).alias("_tie"), row.alias("_row"), F.lit(None).alias("_got"))
     b = right.filter(F.col(right_on).isNotNull()).select(*by, F.col(right_on).alias("_at"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.lit(None).alias("_row"), got.alias("_got"))
-    order = Window.partitionBy(*by).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last("_got", ignorenulls=True).over(order)
+    both = a.unionByName(b)
+    keys = [F.col(c) for c in by]
+    if slices is not None:
+        both = both.withColumn("_slice", slices(F.col("_at")))
+        keys.append(F.col("_slice"))
+    order = Window.partitionBy(*keys).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     known = F.col("_at").isNotNull()
     for c in by:
         known = known & F.col(c).isNotNull()
-    out = a.unionByName(b).withColumn("_seen", F.when(known, seen)).filter("_side = 1")
+    out = both.withColumn("_seen", F.when(known, F.last("_got", ignorenulls=True).over(order))).filter("_side = 1")
+    if slices is not None:
+        last = b.withColumn("_slice", slices(F.col("_at"))).groupBy(*by, "_slice").agg(F.max_by("_got", F.struct("_at", "_tie")).alias("_last"))
+        asked = a.withColumn("_slice", slices(F.col("_at"))).select(*by, "_slice").distinct().withColumn("_last", F.lit(None).cast(last.schema["_last"].dataType))
+        before = Window.partitionBy(*by).orderBy("_slice", "_asks").rowsBetween(Window.unboundedPreceding, -1)
+        steps = last.withColumn("_asks", F.lit(1)).unionByName(asked.withColumn("_asks", F.lit(0)))
+        carried = steps.withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).filter("_asks = 0 AND _carried IS NOT NULL")
+        carried = carried.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_slice").alias("_s"), "_carried")
+        same = F.col("_slice") == F.col("_s")
+        for i, c in enumerate(by):
+            same = same & (F.col(c) == F.col(f"_k{i}"))
+        out = out.join(carried, same, "left").withColumn("_seen", F.coalesce("_seen", F.when(known, F.col("_carried"))))
     if how == "inner":
         out = out.filter(F.col("_seen").isNotNull())
     return out.select("_row.*", *[F.col(f"_seen.{c}").alias(c) for c in values])

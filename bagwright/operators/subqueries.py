@@ -20,7 +20,7 @@ def with_in(outer: DataFrame, cols: Sequence[str], inner: DataFrame, inner_cols:
 
     A tuple whose comparison with some inner row is UNKNOWN and with none is TRUE gives NULL. Inner
     rows without null decide by an equi-join; those with nulls, and outer tuples with nulls, are
-    compared on the columns that are known: one equi-join per pattern of nulls that occurs.
+    compared on the columns that are known: one equi-join per pattern of nulls that inner tuples have.
     """
     ids = [f"_k{i}" for i in range(len(cols))]
     keys = inner.select(*[F.col(c).alias(k) for c, k in zip(inner_cols, ids, strict=True)]).distinct()
@@ -31,27 +31,23 @@ def with_in(outer: DataFrame, cols: Sequence[str], inner: DataFrame, inner_cols:
         out = out.crossJoin(F.broadcast(facts))  # one row
         value = F.when(F.col("_hit"), True).when(F.col("_n") == 0, False).when(F.col(cols[0]).isNull() | (F.col("_nulls") > 0), F.lit(None)).otherwise(False)
         return out.withColumn(name, value).drop("_hit", "_n", "_nulls")
-    # Whether some inner tuple agrees on all columns where both are known.
-    mask = F.concat(*[F.when(F.col(k).isNull(), "1").otherwise("0") for k in ids])
-    masks = [r[0] for r in keys.select(mask).distinct().collect()]  # at most 2 to the number of columns
-    own = [F.col(c).isNull() for c in cols]
+    # Whether some inner tuple agrees on all columns where both are known: one null-safe equi-join for each
+    # pattern of nulls that inner tuples have, whose tuples come once for each pattern an outer one may have.
+    n, every = len(cols), range(1 << len(cols))
+    mask = sum((F.when(F.col(k).isNull(), 1 << i).otherwise(0) for i, k in enumerate(ids)), F.lit(0))
+    own = sum((F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0))
     maybe = F.lit(False)
-    for number, m in enumerate(masks):
-        part = keys.filter(mask == m)
-        for holes in range(1 << len(cols)):
-            known = [i for i in range(len(cols)) if m[i] == "0" and not holes >> i & 1]
-            if m == "0" * len(cols) and not holes:
-                continue
-            flag = f"_m{number}_{holes}"
-            pattern = F.lit(True)
-            for i, isnull in enumerate(own):
-                pattern = pattern & (isnull if holes >> i & 1 else ~isnull)
-            some = part.select(*[F.col(ids[i]).alias(f"_p{i}") for i in known]).distinct().withColumn(flag, F.lit(True)) if known else part.limit(1).select(F.lit(True).alias(flag))
-            on = pattern
-            for i in known:
-                on = on & (F.col(cols[i]) == F.col(f"_p{i}"))
-            out = out.join(some, on, "left").drop(*[f"_p{i}" for i in known])
-            maybe = maybe | F.col(flag).isNotNull()
+    for m in sorted(r[0] for r in keys.select(mask).distinct().collect()):  # at most 2 to the number of columns
+        holes = F.explode(F.array(*[F.lit(h) for h in every if m or h])).alias("_p")
+        some = keys.filter(mask == m).select("*", holes)
+        known = [F.when(F.col("_p").bitwiseAND(1 << i) == 0, F.col(ids[i])).alias(f"_p{i}") for i in range(n) if not m >> i & 1]
+        some = some.select("_p", *known).distinct().withColumn(f"_m{m}", F.lit(True))
+        on = own == F.col("_p")
+        for i in range(n):
+            if not m >> i & 1:
+                on = on & F.col(cols[i]).eqNullSafe(F.col(f"_p{i}"))
+        out = out.join(some, on, "left").drop("_p", *[f"_p{i}" for i in range(n)])
+        maybe = maybe | F.col(f"_m{m}").isNotNull()
     flags = [c for c in out.columns if c.startswith("_m")]
     return out.withColumn(name, F.when(F.col("_hit"), True).when(maybe, F.lit(None)).otherwise(False)).drop("_hit", *flags)
 

@@ -27,12 +27,24 @@ class Constraint:
     check: str = ""
 
 
+@dataclass(frozen=True)
+class Identity:
+    """The number that the next row without one gets, and the step to the one after."""
+
+    following: int = 1
+    step: int = 1
+
+
 @dataclass(frozen=True)
 class Relation:
+    """made: what a materialized view shows, of a state; rows are what it showed when last refreshed."""
+
     rows: DataFrame
     defaults: Mapping[str, Column] = field(default_factory=dict)
     generated: Mapping[str, Column] = field(default_factory=dict)
     constraints: tuple[Constraint, ...] = ()
+    identity: Mapping[str, Identity] = field(default_factory=dict)
+    made: Callable[[State], DataFrame] | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -147,25 +159,83 @@ def drop(state: State, name: str, if_exists: bool = False) -> Transition:
 def rename(state: State, name: str, new: str) -> Transition:
     if new in state:
         raise ValueError(f"{new} exists")
-    return Transition(state, state.without(name).put(new, state[name]), new, state[name].rows.limit(0))
+    after = state.without(name).put(new, state[name])
+    for other, relation in after.items():
+        if any(c.parent == name for c in relation.constraints):
+            after = after.put(other, replace(relation, constraints=tuple(replace(c, parent=new) if c.parent == name else c for c in relation.constraints)))
+    return Transition(state, after, new, state[name].rows.limit(0))
+
+
+def materialize_view(state: State, name: str, made: Callable[[State], DataFrame]) -> Transition:
+    """CREATE MATERIALIZED VIEW: a relation that shows what made(state) gave when it was last refreshed."""
+    from bagwright.operators.scratch import write_out
+
+    if name in state:
+        raise ValueError(f"{name} exists")
+    rows = write_out(made(state))
+    return Transition(state, state.put(name, Relation(rows, made=made)), name, rows)
+
+
+def refresh(state: State, name: str) -> Transition:
+    """REFRESH MATERIALIZED VIEW."""
+    from bagwright.operators.scratch import write_out
+
+    if state[name].made is None:
+        raise ValueError(f"{name} is no materialized view")
+    rows = write_out(state[name].made(state))
+    return state._moved(name, rows, rows, None)
 
 
 def truncate(state: State, name: str) -> Transition:
     return state._moved(name, state[name].rows.limit(0), state[name].rows, None)
 
 
+def _generate(relation: Relation, rows: DataFrame) -> DataFrame:
+    """rows with generated columns computed anew."""
+    kinds = {f.name: f.dataType for f in relation.rows.schema}
+    return rows.withColumns({c: e.cast(kinds[c]) for c, e in relation.generated.items()}) if relation.generated else rows
+
+
 def complete(relation: Relation, rows: DataFrame) -> DataFrame:
     """rows with the relation's columns: defaults for missing ones, generated ones computed."""
     if extra := set(rows.columns) - set(relation.columns):
         raise ValueError(f"no such columns: {sorted(extra)}")
+    if fixed := set(rows.columns) & set(relation.generated):
+        raise ValueError(f"generated columns take no values: {sorted(fixed)}")
     kinds = {f.name: f.dataType for f in relation.rows.schema}
     base = rows.select(*[(F.col(c) if c in rows.columns else relation.defaults.get(c, F.lit(None))).cast(kinds[c]).alias(c) for c in relation.columns])
-    return base.withColumns({c: e.cast(kinds[c]) for c, e in relation.generated.items()}) if relation.generated else base
+    return _generate(relation, base)
+
+
+def _numbered(rows: DataFrame, identity: Mapping[str, Identity]) -> tuple[DataFrame, int]:
+    """rows with their identity columns, in the order of their other columns, and how many they are.
+
+    Rows are sorted in ranges, counted by task and numbered from the counts of the tasks before: nothing is ordered in one task.
+    """
+    from bagwright.operators.scratch import write_out
+
+    order = write_out(rows.orderBy(*rows.columns)).withColumn("_no", F.monotonically_increasing_id())
+    task = F.shiftright("_no", 33)
+    sizes = {r["task"]: r["count"] for r in order.groupBy(task.alias("task")).count().collect()}  # a row a task
+    starts, total = [], 0
+    for t in sorted(sizes):
+        starts.append((t, total))
+        total += sizes[t]
+    at = order.sparkSession.createDataFrame(starts, "task long, start long")
+    order = order.join(F.broadcast(at), task == F.col("task")).withColumn("_at", F.col("start") + F.col("_no").bitwiseAND((1 << 33) - 1))
+    return order.select(*rows.columns, *[(F.lit(v.following) + F.col("_at") * v.step).alias(c) for c, v in identity.items()]), total
 
 
 def insert(state: State, name: str, rows: DataFrame, returning: Sequence[str] | None = None, on_conflict: Sequence[str] | None = None) -> Transition:
-    """INSERT of rows by name. on_conflict: columns of a key whose taken values are left out (DO NOTHING)."""
+    """INSERT of rows by name. on_conflict: columns of a key whose taken values are left out (DO NOTHING).
+
+    Identity columns that rows lack are numbered in the order of the rows' other columns.
+    """
     relation = state[name]
+    if asked := {c: v for c, v in relation.identity.items() if c not in rows.columns}:
+        rows, total = _numbered(rows, asked)
+        relation = replace(relation, identity={**relation.identity, **{c: replace(v, following=v.following + total * v.step) for c, v in asked.items()}})
+        state = state.put(name, relation)
     new = complete(relation, rows)
     if on_conflict:
         keys = list(on_conflict)
@@ -181,25 +251,30 @@ def insert(state: State, name: str, rows: DataFrame, returning: Sequence[str] |
 
 
 def update(state: State, name: str, assign: Mapping[str, Column], where: Column | None = None, source: DataFrame | None = None, on: Column | None = None, row_id: Sequence[str] = (), returning: Sequence[str] | None = None) -> Transition:
-    """UPDATE [FROM source ON on]. Assignments see the old row; a row that several source rows match raises."""
+    """UPDATE [FROM source ON on]. Assignments see the old row; a row that several source rows match raises as the query runs.
+
+    row_id: columns that identify a target row; without them rows are numbered for the time of the join.
+    """
     relation = state[name]
     cols = relation.columns
+    if bad := (set(assign) - set(cols)) | (set(assign) & set(relation.generated)):
+        raise ValueError(f"cannot be assigned: {sorted(bad)}")
     if source is None:
         hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
         rows = relation.rows.withColumn("_hit", hit)
     else:
         marked = source.withColumn("_hit", F.lit(True))
         condition = on if where is None else on & where
-        rows = relation.rows.join(marked, condition, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
-        if row_id:
-            rows = _single(rows, row_id)
-    new = rows.select(*[F.when(F.col("_hit"), assign[c]).otherwise(relation.rows[c]).alias(c) if c in assign else relation.rows[c] for c in cols], "_hit")
-    if relation.generated:
-        new = new.withColumns(dict(relation.generated))
+        target = relation.rows if row_id else relation.rows.withColumn("_row", F.monotonically_increasing_id())
+        rows = target.join(marked, condition, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+        rows = _single(rows, [relation.rows[c] for c in row_id] or ["_row"])
+    kinds = {f.name: f.dataType for f in relation.rows.schema}
+    new = rows.select(*[F.when(F.col("_hit"), assign[c]).otherwise(relation.rows[c]).cast(kinds[c]).alias(c) if c in assign else relation.rows[c] for c in cols], "_hit")
+    new = _generate(relation, new)
     return state._moved(name, new.select(*cols), new.filter("_hit").select(*cols), returning)
 
 
-def _single(rows: DataFrame, row_id: Sequence[str]) -> DataFrame:
+def _single(rows: DataFrame, row_id: Sequence[str | Column]) -> DataFrame:
     """Raises as the query runs if a row id with hits comes more than once."""
     from pyspark.sql import Window
 
@@ -227,28 +302,36 @@ class Branch:
     condition: Column | None = None
 
 
-def merge(state: State, name: str, source: DataFrame, keys: Sequence[tuple[str, str]], branches: Sequence[Branch]) -> Transition:
+def merge(state: State, name: str, source: DataFrame, keys: Sequence[tuple[str, str]], branches: Sequence[Branch], alias: str = "target", source_alias: str = "source") -> Transition:
     """MERGE by one full outer equi-join; the first branch that applies to a row acts.
 
-    keys: (target, source) names. A target row that several source rows match raises as the query runs.
+    keys: (target, source) names. Conditions and values may name either side by its alias. A target row that
+    several source rows match raises as the query runs. Generated columns follow the new values.
     """
     relation = state[name]
     cols = relation.columns
-    target = relation.rows.withColumn("_t", F.lit(True))
-    counted = source.withColumn("_s", F.lit(True))
+    if bad := {c for b in branches for c in b.values} & set(relation.generated):
+        raise ValueError(f"generated columns take no values: {sorted(bad)}")
+
+    def old(c: str) -> Column:
+        return F.col(f"{alias}.`{c}`")
+
     # Source rows are counted per key before the join, which so cannot multiply target rows unnoticed.
-    known = F.lit(True)
-    for _, b in keys:
-        known = known & counted[b].isNotNull()
-    dup = source.groupBy(*[F.col(b).alias(f"_k{i}") for i, (_, b) in enumerate(keys)]).agg(F.count(F.lit(1)).alias("_n"))
-    joined = target.join(counted, [target[a] == counted[b] for a, b in keys], "full").join(dup, [F.col(a) == F.col(f"_k{i}") for i, (a, _) in enumerate(keys)], "left")
+    from pyspark.sql import Window
+
+    n = F.count(F.lit(1)).over(Window.partitionBy(*[b for _, b in keys]))
+    counted = source.withColumns({"_n": n, "_s": F.lit(True)}).alias(source_alias)
+    target = relation.rows.withColumn("_t", F.lit(True)).alias(alias)
+    same = F.lit(True)
+    for a, b in keys:
+        same = same & (old(a) == F.col(f"{source_alias}.`{b}`"))
+    joined = target.join(counted, same, "full")
     both, only_s = F.col("_t").isNotNull() & F.col("_s").isNotNull(), F.col("_t").isNull()
     group = F.when(both, "matched").when(only_s, "not_matched").otherwise("not_matched_by_source")
     group = F.when(both & (F.col("_n") > 1), F.raise_error(F.lit("a target row has more than one match"))).otherwise(group)
-    joined = joined.withColumn("_group", group)
     number = F.lit(None).cast("int")
     for i, b in reversed(list(enumerate(branches))):
-        applies = F.col("_group") == b.on
+        applies = group == b.on
         if b.condition is not None:
             applies = applies & F.coalesce(b.condition, F.lit(False))
         number = F.when(applies, i).otherwise(number)
@@ -256,41 +339,82 @@ def merge(state: State, name: str, source: DataFrame, keys: Sequence[tuple[str,
     gone = [i for i, b in enumerate(branches) if b.action == "delete"]
     values = {}
     for c in cols:
-        value = target[c]
+        value = old(c)
         for i, b in enumerate(branches):
             if b.action in ("update", "insert"):
-                default = relation.defaults.get(c, F.lit(None)) if b.action == "insert" else target[c]
+                default = relation.defaults.get(c, F.lit(None)) if b.action == "insert" else old(c)
                 value = F.when(F.col("_branch") == i, b.values.get(c, default)).otherwise(value)
         values[c] = value.cast(relation.rows.schema[c].dataType)
     keep = F.when(only_s, F.col("_branch").isNotNull()).otherwise(~F.coalesce(F.col("_branch").isin(*gone), F.lit(False)) if gone else F.lit(True))
-    full = joined.withColumns({f"_v_{c}": v for c, v in values.items()}).withColumn("_keep", keep)
-    shown = [F.col(f"_v_{c}").alias(c) for c in cols]
-    return state._moved(name, full.filter("_keep").select(*shown), full.filter("_branch IS NOT NULL").select(*shown), None)
+    full = _generate(relation, joined.select(*[v.alias(c) for c, v in values.items()], "_branch", keep.alias("_keep")))
+    return state._moved(name, full.filter("_keep").select(*cols), full.filter("_branch IS NOT NULL").select(*cols), None)
 
 
 def add_column(state: State, name: str, column: str, kind: str, default: Column | None = None) -> Transition:
     value = (default if default is not None else F.lit(None)).cast(kind)
     rows = state[name].rows.withColumn(column, value)
-    return state._moved(name, rows, rows, None)
+    moved = state._moved(name, rows, rows, None)
+    if default is None:
+        return moved
+    return replace(moved, after=moved.after.put(name, replace(moved.after[name], defaults={**moved.after[name].defaults, column: default})))
+
+
+def _needs(relation: Relation, e: Column, column: str) -> bool:
+    """Whether an expression on the relation's rows names a column."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        relation.rows.drop(column).select(e)
+    except AnalysisException:
+        return True
+    return False
+
+
+def _referring(state: State, name: str, column: str) -> list[str]:
+    return sorted(k for k, r in state.items() if any(c.parent == name and column in c.parent_columns for c in r.constraints))
 
 
 def drop_column(state: State, name: str, column: str) -> Transition:
-    if any(column in c.columns for c in state[name].constraints):
+    """DROP COLUMN; raises where a constraint, a generated column or another relation's foreign key needs it."""
+    relation = state[name]
+    if any(column in c.columns or (c.check and _needs(relation, F.expr(c.check), column)) for c in relation.constraints):
         raise ValueError(f"a constraint needs {column}")
-    rows = state[name].rows.drop(column)
-    return state._moved(name, rows, rows, None)
+    if any(c != column and _needs(relation, e, column) for c, e in relation.generated.items()):
+        raise ValueError(f"a generated column needs {column}")
+    if others := _referring(state, name, column):
+        raise ValueError(f"{', '.join(others)} refers to {column}")
+    rows = relation.rows.drop(column)
+    kept = {k: {c: v for c, v in getattr(relation, k).items() if c != column} for k in ("defaults", "generated", "identity")}
+    return Transition(state, state.put(name, replace(relation, rows=rows, **kept)), name, rows)
 
 
 def rename_column(state: State, name: str, column: str, new: str) -> Transition:
-    rows = state[name].rows.withColumnRenamed(column, new)
-    kept = tuple(replace(c, columns=tuple(new if x == column else x for x in c.columns)) for c in state[name].constraints)
-    moved = state._moved(name, rows, rows, None)
-    return replace(moved, after=moved.after.put(name, replace(moved.after[name], constraints=kept)))
+    """RENAME COLUMN with all that is declared of it, other relations' foreign keys too; raises where an expression names it."""
+    relation = state[name]
+    if new in relation.columns:
+        raise ValueError(f"{new} exists")
+    for c in relation.constraints:
+        if c.check and _needs(relation, F.expr(c.check), column):
+            raise ValueError(f"check {c.check} names {column}")
+    if any(c != column and _needs(relation, e, column) for c, e in relation.generated.items()):
+        raise ValueError(f"a generated column names {column}")
+
+    def moved(names):
+        return tuple(new if x == column else x for x in names)
+
+    kept = {k: {new if c == column else c: v for c, v in getattr(relation, k).items()} for k in ("defaults", "generated", "identity")}
+    rows = relation.rows.withColumnRenamed(column, new)
+    after = state.put(name, replace(relation, rows=rows, constraints=tuple(replace(c, columns=moved(c.columns)) for c in relation.constraints), **kept))
+    for other in _referring(state, name, column):
+        theirs = tuple(replace(c, parent_columns=moved(c.parent_columns)) if c.parent == name else c for c in after[other].constraints)
+        after = after.put(other, replace(after[other], constraints=theirs))
+    return Transition(state, after, name, rows)
 
 
 def set_type(state: State, name: str, column: str, kind: str) -> Transition:
-    rows = state[name].rows.withColumn(column, F.col(column).cast(kind))
-    return state._moved(name, rows, rows, None)
+    relation = state[name]
+    rows = relation.rows.withColumn(column, F.col(column).cast(kind))
+    return state._moved(name, _generate(replace(relation, rows=rows), rows), rows, None)
 
 
 def select(state: State, name: str, rows: Callable[[State], DataFrame]) -> Transition:
@@ -328,8 +452,13 @@ def script(state: State, statements: Sequence[Statement | str], check: bool = Tr
                 raise ValueError(f"unknown statement {s}")
             continue
         moved = s(state)
-        state = moved.after.checked(moved.relation) if check and moved.relation in moved.after else moved.after
-        name = moved.relation
+        state, name = moved.after, moved.relation
+        if check and name in state and moved.after is not moved.before:
+            if any(c.parent == name for r in state.values() for c in r.constraints) or state[name].constraints:
+                # The check reads what is written, so that no statement before is run again.
+                state = state.put(name, replace(state[name], rows=write_out(state[name].rows)))
+                depth[name] = 0
+            state = state.checked(name)
         depth[name] = depth.get(name, 0) + 1
         if depth[name] % cut_every == 0 and name in state:
             state = state.put(name, replace(state[name], rows=write_out(state[name].rows)))

@@ -112,8 +112,49 @@ class Counts:
             return Counts(0, self.most)
         kept = {"left": (self,), "right": (other,), "full": (self, other)}[how]
         least = max(k.least for k in kept)
-        if pairs is None:
+        tops = [k.most for k in kept]
+        if None in tops:
             return Counts(least, None)
-        if how == "full":
-            return Counts(least, max(pairs, self.most + other.most))
-        return Counts(least, max(pairs, kept[0].most))
+        if pairs is None:  # the side that is not kept is open: one partner may match all rows
+            return Counts(least, None if any(tops) else 0)
+        # Of the kept rows each has a partner or stands alone: m rows a side make at most m * n pairs.
+        return Counts(least, max(pairs, sum(tops)))
+
+
+def write_counts(action: str, target: Counts, source: Counts | None = None) -> dict[str, Counts]:
+    """Bounds of the rows that a write affects and of the rows after it. source: the rows inserted, or matched against."""
+    some = Counts(0, target.most)
+    if action == "insert":
+        return {"affected": source, "after": target.union_all(source)}
+    if action == "insert_ignore":
+        return {"affected": Counts(0, source.most), "after": Counts(target.least, target.union_all(source).most)}
+    if action == "update":
+        return {"affected": some, "after": target}
+    if action == "delete":
+        return {"affected": some, "after": some}
+    if action == "truncate":
+        return {"affected": target, "after": Counts(0, 0)}
+    if action == "merge":
+        both = target.union_all(source).most
+        return {"affected": Counts(0, both), "after": Counts(0, both)}
+    raise ValueError(f"unknown action {action}")
+
+
+def joint_goals(df: DataFrame, goals: dict[str, tuple[Sequence[str], int, int | None]]) -> DataFrame:
+    """(goal, n, outcome): goals on one relation, met together. goals: name to (SQL conditions, at least, at most).
+
+    A goal counts the rows for which all its conditions are TRUE; all counts come from one scan. Bounds that
+    contradict themselves or a goal that includes them are Unsatisfiable whatever the rows are; a goal that
+    the rows at hand miss but bounds allow is Residual.
+    """
+    counts = [F.count(F.when(F.expr(" AND ".join(f"({c})" for c in conditions) or "TRUE"), 1)).alias(name) for name, (conditions, _, _) in goals.items()]
+    row = df.agg(*counts)
+    outcome = []
+    for name, (conditions, low, high) in goals.items():
+        # A goal with more conditions counts a part of the rows of one with fewer.
+        ceiling = min((h for c, _, h in goals.values() if h is not None and set(c) <= set(conditions)), default=None)
+        impossible = ceiling is not None and ceiling < low
+        good = (F.col(name) >= low) & (F.lit(True) if high is None else F.col(name) <= high)
+        value = F.lit(UNSATISFIABLE) if impossible else F.when(good, FEASIBLE).otherwise(RESIDUAL)
+        outcome.append(F.struct(F.lit(name).alias("goal"), F.col(name).alias("n"), value.alias("outcome")))
+    return row.select(F.explode(F.array(*outcome)).alias("x")).select("x.*")

@@ -91,13 +91,7 @@ def _(t):
     return n.join(b2(t), (F.col("k") == F.col("k2")) | F.col("k").isNull()).select("n_nationkey", "s_suppkey")
 
 
-@query("join_temporal_theta", "SELECT e.event_id, o.o_orderkey FROM events e JOIN (SELECT * FROM orders WHERE o_custkey <= 20) o ON e.user_id = o.o_custkey AND o.o_orderdate >= e.ts")
-def _(t):
-    o = t.orders.filter("o_custkey <= 20")
-    return t.events.join(o, (F.col("user_id") == F.col("o_custkey")) & (F.col("o_orderdate") >= F.col("ts"))).select("event_id", "o_orderkey")
-
-
-@query("join_temporal_theta_all", "SELECT e.event_id, o.o_orderkey FROM events e JOIN orders o ON e.user_id = o.o_custkey AND o.o_orderdate >= e.ts")
+@query("join_temporal_theta", "SELECT e.event_id, o.o_orderkey FROM events e JOIN orders o ON e.user_id = o.o_custkey AND o.o_orderdate >= e.ts")
 def _(t):
     return t.events.join(t.orders, (F.col("user_id") == F.col("o_custkey")) & (F.col("o_orderdate") >= F.col("ts"))).select("event_id", "o_orderkey")
 
@@ -139,6 +133,14 @@ def _(t):
     return J.asof(o, t.events.select("user_id", "ts", "event_id"), ["user_id"], "o_orderdate", "ts", ["event_id"], "event_id", how="inner").select("o_orderkey", "event_id")
 
 
+@query("join_asof_sliced", f"SELECT o_orderkey, e.event_id FROM (SELECT o_orderkey, o_custkey, (TIMESTAMP '2024-01-01' + to_days((o_orderkey % 40)::INTEGER)) AS at FROM orders) o ASOF LEFT JOIN {ASOF} e ON o.o_custkey = e.user_id AND o.at >= e.ts")
+def _(t):
+    """Within a key, days are ordered apart from each other; each day takes over the last row before it."""
+    at = F.expr("timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, int(o_orderkey % 40))")
+    o = t.orders.select(F.col("o_custkey").alias("user_id"), "o_orderkey", at.alias("at"))
+    return J.asof(o, t.events.select("user_id", "ts", "event_id"), ["user_id"], "at", "ts", ["event_id"], "event_id", slices=lambda c: F.to_date(c)).select("o_orderkey", "event_id")
+
+
 @query("join_lateral", "SELECT r_name, n.n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey > 5) n")
 def _(t):
     inner = t.nation.filter((F.col("n_regionkey") == F.col("r_regionkey").outer()) & (F.col("n_nationkey") > 5)).select("n_name")

@@ -84,14 +84,14 @@ def _(t):
     return df.select("o_orderkey", "n_name", F.row_number().over(Window.partitionBy("n_name").orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("r"))
 
 
-@query("win_over_group", "SELECT o_custkey, n, rank() OVER (ORDER BY n DESC, o_custkey) AS r FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) QUALIFY r <= 20")
+@query("page_top_groups", "SELECT o_custkey, n, rank() OVER (ORDER BY n DESC, o_custkey) AS r FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) QUALIFY r <= 20")
 def _(t):
     counts = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.desc("n"), "o_custkey").limit(20)  # a top-n first: the rank then sees 20 rows
     return top.select("o_custkey", "n", F.rank().over(Window.orderBy(F.desc("n"), "o_custkey")).cast("long").alias("r"))
 
 
-@query("win_over_group_all", "SELECT c_nationkey, c_mktsegment, o_custkey, n, rank() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY n DESC, o_custkey) AS r FROM (SELECT c_nationkey, c_mktsegment, o_custkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, c_mktsegment, o_custkey)")
+@query("win_over_group", "SELECT c_nationkey, c_mktsegment, o_custkey, n, rank() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY n DESC, o_custkey) AS r FROM (SELECT c_nationkey, c_mktsegment, o_custkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, c_mktsegment, o_custkey)")
 def _(t):
     counts = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "c_mktsegment", "o_custkey").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("r", F.rank().over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy(F.desc("n"), "o_custkey")).cast("long"))

@@ -224,13 +224,13 @@ def test_temporal_theta_joins_every_customer(spark, tmp_path):
     spark.createDataFrame(placed, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
     want = sorted((e, o) for e, u, ts in events for o, c, at in placed if None not in (u, ts, at) and u == c and at >= ts)
     assert any(placed[o][1] > 20 for _, o in want)
-    assert sorted(map(tuple, queries.QUERIES["join_temporal_theta_all"](spark, str(tmp_path)).collect())) == want
+    assert sorted(map(tuple, queries.QUERIES["join_temporal_theta"](spark, str(tmp_path)).collect())) == want
 
 
 def test_window_over_groups_ranks_every_group(spark, data):
     from bagwright import queries
 
     queries.load_all()
-    ranked = queries.QUERIES["win_over_group_all"](spark, data)
+    ranked = queries.QUERIES["win_over_group"](spark, data)
     placed = spark.read.parquet(f"{data}/orders.parquet").select("o_custkey").distinct().count()
     assert placed > 20 and ranked.count() == placed == ranked.select("o_custkey").distinct().count()
