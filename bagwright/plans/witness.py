@@ -1,4 +1,8 @@
-"""Witnesses: obligations that rows meet, their algebra, and example rows for and against a query's filters."""
+"""Witnesses: obligations that rows meet, their algebra, and example rows for and against a query's filters.
+
+join_cases, group_cases, rank_cases and membership_cases find the witnesses that given relations hold: for
+each case of an operator the obligation its rows meet, how many do, and the least key of one as example.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,8 @@ from dataclasses import dataclass
 from datetime import date, timedelta
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from bagwright.plans import domains as D
 from bagwright.plans.facts import Facts, analyse_sql
@@ -132,8 +137,47 @@ def check(spark: SparkSession, sql: str) -> dict[str, bool | None]:
 
 
 def _one(real: DataFrame, values: dict, spark: SparkSession, name: str, sql: str) -> int:
-    from pyspark.sql import functions as F
-
     row = spark.range(1).select(*[F.lit(None if values.get(f.name) is None else str(values[f.name])).cast(f.dataType).alias(f.name) for f in real.schema])
     row.createOrReplaceTempView(name)
     return spark.sql(sql).count()
+
+
+def _cases(df: DataFrame, cases: dict[str, tuple[str, Column]], example: str) -> DataFrame:
+    """(case, obligation, n, example) of every case, those without rows too, from one aggregation."""
+    facts = [x for i, (_, c) in enumerate(cases.values()) for x in (F.count(F.when(c, 1)).alias(f"n{i}"), F.min(F.when(c, F.col(example).cast("string"))).alias(f"e{i}"))]
+    row = df.agg(*facts)
+    listed = F.array(*[F.struct(F.lit(name).alias("case"), F.lit(text).alias("obligation"), F.col(f"n{i}").alias("n"), F.col(f"e{i}").alias("example")) for i, (name, (text, _)) in enumerate(cases.items())])
+    return row.select(F.explode(listed).alias("x")).select("x.*")
+
+
+def join_cases(left: DataFrame, right: DataFrame, left_key: str, right_key: str, example: str) -> DataFrame:
+    """Rows of left that an equi-join matches, leaves unmatched because no right key is equal, or because theirs is NULL."""
+    keys = right.filter(F.col(right_key).isNotNull()).select(F.col(right_key).alias("_k")).distinct()
+    met = left.join(keys, F.col(left_key) == F.col("_k"), "left")
+    a, b = f"left.{left_key}", f"right.{right_key}"
+    null, hit = F.col(left_key).isNull(), F.col("_k").isNotNull()
+    return _cases(met, {"matched": (f"{a} = {b} for some right row", hit), "unmatched": (f"{a} <> {b} for every right row", ~hit & ~null), "null_key": (f"{a} IS NULL", null)}, example)
+
+
+def group_cases(df: DataFrame, by: str, aggregate: Column, having: str) -> DataFrame:
+    """Groups for which a HAVING condition (on the column `value`, the aggregate) is TRUE, FALSE or UNKNOWN."""
+    groups = df.groupBy(by).agg(aggregate.alias("value"))
+    truth = F.expr(having)
+    return _cases(groups, {"qualifying": (having, F.coalesce(truth, F.lit(False))), "rejected": (f"NOT ({having})", F.coalesce(~truth, F.lit(False))), "unknown": (f"({having}) IS UNKNOWN", truth.isNull())}, by)
+
+
+def rank_cases(df: DataFrame, by: list[str], order: list[Column], most: int, example: str) -> DataFrame:
+    """Rows that `rank() <= most` keeps, keeps as ties at the edge, or drops."""
+    over = Window.partitionBy(*by).orderBy(*order)
+    ranked = df.withColumns({"_rank": F.rank().over(over), "_number": F.row_number().over(over)})
+    kept, tied = F.col("_rank") <= most, F.col("_number") > most
+    return _cases(ranked, {"kept": (f"rank <= {most} and row number <= {most}", kept & ~tied), "tied": (f"rank <= {most} < row number", kept & tied), "dropped": (f"rank > {most}", ~kept)}, example)
+
+
+def membership_cases(outer: DataFrame, column: str, inner: DataFrame, inner_column: str, example: str) -> DataFrame:
+    """Rows for which IN is TRUE, FALSE or UNKNOWN."""
+    from bagwright.operators.subqueries import with_in
+
+    tested = with_in(outer, [column], inner, [inner_column], "_in")
+    truth = F.col("_in")
+    return _cases(tested, {"member": (f"{column} = {inner_column} for some inner row", F.coalesce(truth, F.lit(False))), "no_member": ("comparison FALSE with every inner row", F.coalesce(~truth, F.lit(False))), "unknown": ("no comparison TRUE and one UNKNOWN", truth.isNull())}, example)

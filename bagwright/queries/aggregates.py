@@ -95,6 +95,20 @@ def _(t):
     return t.values("SELECT l_returnflag, count(*) AS n FROM _bw_li GROUP BY l_returnflag WITH ROLLUP")
 
 
+@query("agg_with_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def _(t):
+    t.lineitem.createOrReplaceTempView("_bw_li")
+    return t.values("SELECT l_returnflag, l_linestatus, count(*) AS n FROM _bw_li GROUP BY l_returnflag, l_linestatus WITH CUBE")
+
+
+@query("agg_with_totals", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), ()) HAVING count(*) > 2")
+def _(t):
+    from bagwright.sources import dialect
+
+    t.lineitem.createOrReplaceTempView("_bw_li")
+    return dialect.run(t.spark, "SELECT l_returnflag, count(*) AS n FROM _bw_li GROUP BY l_returnflag WITH TOTALS HAVING count(*) > 2", "clickhouse")
+
+
 @query("agg_exact_sum", "SELECT sum(l_orderkey * 1000000)::DOUBLE AS s FROM lineitem")
 def _(t):
     return t.lineitem.agg(A.exact_sum(F.col("l_orderkey") * 1000000).cast("double").alias("s"))
@@ -226,6 +240,16 @@ def _(t):
     return laws.row_goal(left(t), at_least=1, at_most=1_000_000)
 
 
+@query(
+    "count_joint_goals",
+    f"SELECT 'rows' AS goal, count(*) AS n, CASE WHEN count(*) >= 1 THEN 'Feasible' ELSE 'Residual' END AS outcome FROM {L} UNION ALL SELECT 'small', count(*), CASE WHEN count(*) BETWEEN 1 AND 5000000 THEN 'Feasible' ELSE 'Residual' END FROM {L} WHERE k < 4"
+    f" UNION ALL SELECT 'none', count(*), CASE WHEN count(*) = 0 THEN 'Feasible' ELSE 'Residual' END FROM {L} WHERE k >= 2 UNION ALL SELECT 'more', count(*), 'Unsatisfiable' FROM {L} WHERE k < 4 AND k > 1",
+)
+def _(t):
+    """Goals over one source, met together: 'more' asks for more rows than 'small', which includes them, may have."""
+    return laws.joint_goals(left(t), {"rows": ([], 1, None), "small": (["k < 4"], 1, 5_000_000), "none": (["k >= 2"], 0, 0), "more": (["k < 4", "k > 1"], 6_000_000, None)})
+
+
 @query("rejected_rows", f"SELECT count(*) AS rejected FROM {L} WHERE NOT coalesce(k > 2, FALSE)")
 def _(t):
     return left(t).filter(~F.coalesce(F.col("k") > 2, F.lit(False))).agg(F.count(F.lit(1)).alias("rejected"))

@@ -57,6 +57,19 @@ def _(t):
     return W.groups_frame(one, ["o_custkey"], [F.asc("g")], 0, None, {"n": F.count(F.lit(1))}).select("o_orderkey", "s", "n")
 
 
+for _exclude in ("current row", "group", "ties"):
+
+    def _without(t, exclude=_exclude):
+        return W.excluding(o(t), ["o_custkey"], ["g"], "x", exclude, "s").select("o_orderkey", "s")
+
+    query(f"win_exclude_{_exclude.replace(' ', '_')}", f"SELECT o_orderkey, (sum(x) OVER (PARTITION BY o_custkey ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE {_exclude.upper()}))::BIGINT AS s FROM {O}")(_without)
+
+
+@query("win_count_distinct", f"SELECT o_orderkey, count(DISTINCT x) OVER (PARTITION BY o_custkey) AS n FROM {O}")
+def _(t):
+    return W.distinct_count(o(t), ["o_custkey"], "x", "n").select("o_orderkey", "n")
+
+
 @query("win_named", f"SELECT o_orderkey, row_number() OVER w AS r, (sum(x) OVER w)::BIGINT AS s FROM {O} WINDOW w AS ({SQL_TOTAL})")
 def _(t):
     o(t).createOrReplaceTempView("_bw_o")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from bagwright.operators import writes as W
-from bagwright.queries import query
+from bagwright.queries import ORACLES, query
 
 ACC = "(SELECT c_custkey AS id, c_nationkey AS k, nullif(c_custkey % 5, 0) AS amount FROM customer)"
 SRC = "(SELECT s_suppkey * 3 AS sid, s_nationkey AS sk, nullif(s_suppkey % 4, 0) AS add_amount FROM supplier)"
@@ -169,6 +169,105 @@ def _(t):
     return shown.select("id", F.array_join(F.col("sizes").cast("array<string>"), ",").alias("sizes"), F.col("info.brand").alias("brand"))
 
 
+def sql(t, text, dialect="generic"):
+    """The state after a script of SQL text; src is the source relation."""
+    from bagwright.sources.statements import execute
+
+    begin = W.State({"acc": state(t)["acc"], "src": W.Relation(source(t))})
+    return execute(t.spark, begin, text, dialect)
+
+
+@query("dml_sql_insert", f"SELECT id, k, amount FROM {ACC} UNION ALL SELECT sid + 1000000, sk, 7 FROM {SRC} UNION ALL VALUES (-1, 3, NULL), (-2, NULL, 5)")
+def _(t):
+    return after(sql(t, "INSERT INTO acc (id, k) SELECT sid + 1000000, sk FROM src; INSERT INTO acc VALUES (-1, 3, NULL), (-2, NULL, 5)")[-1])
+
+
+@query("dml_sql_insert_with", f"SELECT id, k, amount FROM {ACC} UNION ALL SELECT max(sid) + 1000000, count(*)::INTEGER, 1 FROM {SRC}")
+def _(t):
+    return after(sql(t, "INSERT INTO acc WITH m AS (SELECT max(sid) + 1000000 AS id, count(*) AS n FROM src) SELECT id, n, 1 FROM m")[-1])
+
+
+@query("dml_sql_conflict", "SELECT sid AS id, 7::BIGINT AS amount FROM " + SRC + " WHERE sid NOT IN (SELECT c_custkey FROM customer)")
+def _(t):
+    return sql(t, "INSERT INTO acc (id, k) SELECT sid, sk FROM src ON CONFLICT (id) DO NOTHING RETURNING id, amount")[-1].returning
+
+
+@query("dml_sql_update", f"SELECT id, CASE WHEN coalesce(amount > 2, FALSE) THEN 7 ELSE k END AS k, CASE WHEN coalesce(amount > 2, FALSE) THEN amount * 10 + k ELSE amount END AS amount FROM {ACC}")
+def _(t):
+    return after(sql(t, "UPDATE acc SET amount = amount * 10 + acc.k, k = 7 WHERE acc.amount > 2")[-1])
+
+
+@query("dml_sql_update_from", f"SELECT id, k, CASE WHEN sid IS NOT NULL THEN amount + add_amount ELSE amount END AS amount FROM {ACC} LEFT JOIN {SRC} ON id = sid")
+def _(t):
+    return after(sql(t, "UPDATE acc AS a SET amount = a.amount + s.add_amount FROM src s WHERE a.id = s.sid")[-1])
+
+
+@query("dml_sql_update_cte", f"SELECT id, k, CASE WHEN k IN (SELECT sk FROM {SRC}) THEN (SELECT max(sid) FROM {SRC}) ELSE amount END AS amount FROM {ACC}")
+def _(t):
+    return after(sql(t, "WITH m AS (SELECT DISTINCT sk FROM src) UPDATE acc SET amount = (SELECT max(sid) FROM src) WHERE k IN (SELECT sk FROM m)")[-1])
+
+
+@query("dml_sql_delete_using", f"SELECT id, k, amount FROM {ACC} a WHERE NOT EXISTS (SELECT 1 FROM {SRC} WHERE sid = a.id AND add_amount > 1)")
+def _(t):
+    return after(sql(t, "DELETE FROM acc USING src WHERE acc.id = src.sid AND add_amount > 1")[-1])
+
+
+@query("dml_sql_delete_cte", f"SELECT id FROM {ACC} WHERE k NOT IN (SELECT sk FROM {SRC} WHERE sk IS NOT NULL)")
+def _(t):
+    return sql(t, "WITH m AS (SELECT sk FROM src WHERE sk IS NOT NULL) DELETE FROM acc WHERE k NOT IN (SELECT sk FROM m) RETURNING id")[-1].returning
+
+
+@query("dml_sql_merge", ORACLES["dml_merge"])
+def _(t):
+    text = """
+    MERGE INTO acc AS a USING src AS s ON a.id = s.sid
+    WHEN MATCHED AND s.add_amount = 1 THEN DELETE
+    WHEN MATCHED THEN UPDATE SET amount = s.add_amount
+    WHEN NOT MATCHED THEN INSERT (id, k, amount) VALUES (s.sid, s.sk, s.add_amount)
+    WHEN NOT MATCHED BY SOURCE AND a.amount = 4 THEN DELETE
+    """
+    return after(sql(t, text)[-1])
+
+
+@query("dml_sql_transaction", f"SELECT id, k, amount FROM {ACC} WHERE NOT coalesce(amount = 3, FALSE) UNION ALL SELECT -1, 1, 1")
+def _(t):
+    return after(sql(t, "DELETE FROM acc WHERE amount = 3; BEGIN TRANSACTION; TRUNCATE TABLE acc; ROLLBACK; BEGIN; INSERT INTO acc VALUES (-1, 1, 1); COMMIT")[-1])
+
+
+@query("dml_sql_alter", f"SELECT id, k::VARCHAR AS nation, 5 AS extra FROM {ACC} UNION ALL SELECT -1, '3', 5")
+def _(t):
+    text = "ALTER TABLE acc ADD COLUMN extra INT DEFAULT 5; ALTER TABLE acc RENAME COLUMN k TO nation; ALTER TABLE acc ALTER COLUMN nation SET DATA TYPE STRING; ALTER TABLE acc DROP COLUMN amount; INSERT INTO acc (id, nation) VALUES (-1, '3')"
+    return after(sql(t, text)[-1])
+
+
+@query("dml_sql_select_into", f"SELECT k, count(*) AS n FROM {ACC} GROUP BY k")
+def _(t):
+    return after(sql(t, "SELECT k, count(*) AS n INTO counts FROM acc GROUP BY k; ALTER TABLE counts RENAME TO totals")[-1], "totals")
+
+
+@query("dml_identity", f"SELECT 10 + 5 * (row_number() OVER (ORDER BY sid) - 1) AS no, sid AS v FROM {SRC} UNION ALL SELECT 10 + 5 * (SELECT count(*) FROM {SRC}), -1")
+def _(t):
+    text = "CREATE TABLE log (no BIGINT GENERATED ALWAYS AS IDENTITY (START WITH 10 INCREMENT BY 5), v BIGINT); INSERT INTO log SELECT sid FROM src; INSERT INTO log (v) VALUES (-1)"
+    return after(sql(t, text)[-1], "log")
+
+
+@query("dml_merge_generated", f"SELECT coalesce(id, sid) AS id, coalesce(add_amount, amount) AS amount, 2 * coalesce(add_amount, amount) AS g FROM {ACC} FULL JOIN {SRC} ON id = sid")
+def _(t):
+    rel = W.Relation(state(t)["acc"].rows.select("id", "amount").withColumn("g", 2 * F.col("amount")), generated={"g": 2 * F.col("amount")})
+    src = source(t).withColumnRenamed("sid", "id")
+    branches = [W.Branch("matched", "update", {"amount": F.expr("coalesce(s.add_amount, a.amount)")}), W.Branch("not_matched", "insert", {"id": F.expr("s.id"), "amount": F.expr("add_amount")})]
+    return after(W.merge(W.State({"acc": rel}), "acc", src, [("id", "id")], branches, "a", "s"))
+
+
+@query("view_materialized", f"SELECT 1 AS step, count(*) AS n FROM {ACC} UNION ALL SELECT 2, count(*) FROM {ACC} WHERE NOT coalesce(amount = 3, FALSE)")
+def _(t):
+    """A materialized view shows its rows of before until it is refreshed."""
+    text = "CREATE MATERIALIZED VIEW m AS SELECT count(*) AS n FROM acc; DELETE FROM acc WHERE amount = 3; SELECT n FROM m; REFRESH MATERIALIZED VIEW m; SELECT n FROM m"
+    moved = sql(t, text)
+    shown = [m.returning for m in moved if m.returning is not None]
+    return shown[0].select(F.lit(1).alias("step"), "n").unionAll(shown[1].select(F.lit(2).alias("step"), "n"))
+
+
 @query("dml_select_between", f"SELECT count(*) AS n FROM {ACC} WHERE NOT coalesce(amount = 3, FALSE)")
 def _(t):
     """What a read between two writes sees."""

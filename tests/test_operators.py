@@ -234,3 +234,80 @@ def test_window_over_groups_ranks_every_group(spark, data):
     ranked = queries.QUERIES["win_over_group"](spark, data)
     placed = spark.read.parquet(f"{data}/orders.parquet").select("o_custkey").distinct().count()
     assert placed > 20 and ranked.count() == placed == ranked.select("o_custkey").distinct().count()
+
+
+def _relation(spark):
+    from bagwright.operators import writes as W
+
+    rows = spark.createDataFrame([(1, 5, 10), (2, 6, 12), (2, 6, 12)], "id int, v int, g int")
+    return W, W.Relation(rows, defaults={"v": F.lit(9)}, generated={"g": F.col("v") * 2})
+
+
+def test_ambiguous_update_raises_and_generated_columns_follow(spark):
+    W, rel = _relation(spark)
+    state = W.State({"t": rel})
+    two = spark.createDataFrame([(1, 7), (1, 8)], "sid int, w int")
+    with pytest.raises(Exception, match="more than one match"):
+        W.update(state, "t", {"v": F.col("w")}, source=two, on=F.col("id") == F.col("sid")).after["t"].rows.collect()
+    one = W.update(state, "t", {"v": F.col("w")}, source=two.limit(1), on=F.col("id") == F.col("sid")).after["t"].rows
+    assert sorted(map(tuple, one.collect())) == [(1, 7, 14), (2, 6, 12), (2, 6, 12)]
+    merged = W.merge(state, "t", spark.createDataFrame([(1, 50)], "id int, w int"), [("id", "id")], [W.Branch("matched", "update", {"v": F.col("source.w")})])
+    assert (1, 50, 100) in set(map(tuple, merged.after["t"].rows.collect()))
+    with pytest.raises(ValueError, match="generated"):
+        W.insert(state, "t", spark.createDataFrame([(3, 3)], "id int, g int"))
+
+
+def test_renames_and_drops_keep_declarations(spark):
+    W, rel = _relation(spark)
+    child = W.Relation(spark.createDataFrame([(1,)], "ref int"), constraints=(W.Constraint("foreign_key", ("ref",), "t", ("id",)),))
+    state = W.State({"t": rel, "c": child})
+    moved = W.rename_column(state, "t", "id", "key").after
+    assert moved["c"].constraints[0].parent_columns == ("key",) and moved.checked("t")
+    assert W.rename(moved, "t", "u").after.checked("u")["c"].constraints[0].parent == "u"
+    with pytest.raises(ValueError, match="generated"):
+        W.rename_column(state, "t", "v", "w")
+    plain = W.drop_column(state, "t", "g").after
+    renamed = W.rename_column(plain, "t", "v", "w").after
+    assert (4, 9) in set(map(tuple, W.insert(renamed, "t", spark.createDataFrame([(4,)], "id int")).after["t"].rows.collect()))
+    with pytest.raises(ValueError, match="refers"):
+        W.drop_column(state, "t", "id")
+    assert not plain["t"].generated and W.rename_column(state, "t", "g", "h").after["t"].generated.keys() == {"h"}
+
+
+def test_identity_numbers_are_dense_over_many_tasks(spark):
+    W, _ = _relation(spark)
+    state = W.State({"t": W.Relation(spark.createDataFrame([], "no long, v long"), identity={"no": W.Identity(3, 2)})})
+    for part in (range(50, 100), range(50)):
+        state = W.insert(state, "t", spark.createDataFrame([(i,) for i in part], "v long").repartition(7)).after
+    got = sorted(map(tuple, state["t"].rows.collect()))
+    assert [n for n, _ in got] == [3 + 2 * i for i in range(100)] and [v for _, v in got] == [*range(50, 100), *range(50)]
+
+
+def test_sql_of_writes_says_what_it_cannot_read(spark):
+    from bagwright.operators import writes as W
+    from bagwright.sources.statements import execute
+
+    state = W.State({"t": spark.createDataFrame([(1, 2)], "a int, b int")})
+    for text in ("VACUUM t", "MERGE INTO t USING t AS s ON t.a > s.a WHEN MATCHED THEN DELETE", "INSERT INTO t (a) VALUES (1, 2)", "INSERT INTO t VALUES (1, 2) ON CONFLICT (a) DO UPDATE SET b = 1"):
+        with pytest.raises(ValueError):
+            execute(spark, state, text)
+    made = execute(spark, state, "CREATE TABLE u (id INT PRIMARY KEY, v INT DEFAULT 4 CHECK (v > 3), w INT GENERATED ALWAYS AS (v * 2) STORED, r INT REFERENCES t (a)); INSERT INTO u (id, r) VALUES (1, 1)")
+    assert [tuple(r) for r in made[-1].after["u"].rows.collect()] == [(1, 4, 8, 1)]
+    for text in ("INSERT INTO u (id, v) VALUES (2, 1)", "INSERT INTO u (id) VALUES (1)", "INSERT INTO u (id, r) VALUES (3, 77)"):
+        with pytest.raises(W.ConstraintError):
+            execute(spark, made[-1].after, text)
+    empty = execute(spark, made[-1].after, "INSERT INTO t DEFAULT VALUES")[-1].after["t"].rows.collect()
+    assert sorted(map(str, map(tuple, empty))) == ["(1, 2)", "(None, None)"]
+
+
+def test_sliced_asof_equals_the_plain_one(spark):
+    from bagwright.operators import joins as J
+
+    left = spark.createDataFrame([(k, i, i * 7 % 41) for i, k in enumerate([1, 1, 1, 2, None, 3] * 8)], "k int, n int, at int")
+    right = spark.createDataFrame([(k, i * 5 % 37, i) for i, k in enumerate([1, 1, 2, None] * 6)], "k int, at int, e int")
+    plain = J.asof(left, right, ["k"], "at", "at", ["e"], "e")
+    for how in ("left", "inner"):
+        whole = J.asof(left, right, ["k"], "at", "at", ["e"], "e", how)
+        sliced = J.asof(left, right, ["k"], "at", "at", ["e"], "e", how, slices=lambda c: F.floor(c / 10))
+        assert sorted(map(str, whole.collect())) == sorted(map(str, sliced.collect()))
+    assert plain.count() == left.count()

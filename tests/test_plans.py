@@ -271,3 +271,15 @@ def test_obligations():
     assert a.both(b).strength == SUFFICIENT and a.negated().strength == NECESSARY
     with pytest.raises(ValueError):
         a.either(Obligation("c", NECESSARY))
+
+
+def test_counts_of_joins_with_open_bounds():
+    from bagwright.plans.laws import Counts, write_counts
+
+    none, open_, some = Counts(0, 0), Counts(0, None), Counts(2, 5)
+    assert none.join(open_, "left") == Counts(0, 0) and open_.join(none, "left") == Counts(0, None)
+    assert open_.join(none, "right") == Counts(0, 0) and none.join(open_, "full") == Counts(0, None)
+    assert some.join(open_, "left") == Counts(2, None) and some.join(Counts(1, 3), "full") == Counts(2, 15)
+    assert some.join(none, "left") == some and some.join(none, "full") == some
+    assert write_counts("insert", some, Counts(1, None)) == {"affected": Counts(1, None), "after": Counts(3, None)}
+    assert write_counts("delete", some)["after"] == Counts(0, 5) and write_counts("merge", some, some)["after"] == Counts(0, 10)
