@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Equal vectors form one node that carries its k + 1 smallest ids (no query can need more of them). Nodes
-are dealt by hash into shards of about SHARD rows; a shard's graph is built in one task: each layer
-links its members to near ones that no kept neighbour is closer to, both ways, and is stored as a flat
+are dealt by hash into shards, whose size grows with the root of their number. A shard's graph is built in
+one task by insertion, members of high layers first: in each layer a new member searches those before it,
+links to near ones that no kept neighbour is closer to, and they link back. A layer is stored as a flat
 array of neighbours, DEGREE a node at most. Queries come in blocks, descend the layers of every shard's
 graph with a beam of UPPER and sweep the lowest with one of BEAM; each layer is entered at all members
 that the one above it gave, so that a group of near copies that links only itself does not hold a walk.
@@ -23,10 +24,18 @@ from pyspark.sql import functions as F
 from bagwright.llm.common import materialize
 from bagwright.llm.textscan import mix
 
-SHARD, BLOCK = 8192, 2048
-LINKS, NEAR, DEGREE, BEAM = 20, 64, 48, 192
-#: A layer of so many members, which all may link each other, passes all that it reaches on.
+#: Rows of a shard: ROOT times the root of all, from SHARD up to MOST_ROWS and MOST_NUMBERS components; queries of a block.
+SHARD, ROOT, MOST_ROWS, MOST_NUMBERS, BLOCK = 8192, 32, 1 << 16, 1 << 24, 2048
+#: Tasks that build shards, at most.
+MOST_TASKS = 20_000
+#: Links a member chooses, candidates it chooses from, links it holds; beams of inserting and of searching.
+LINKS, NEAR, DEGREE, BUILD, BEAM = 20, 64, 48, 64, 128
+#: The beam in upper layers.
 UPPER = NEAR + 1
+#: Members inserted at once at most, members opened in a step, members of the layer above that an insertion starts from, and the beam that finds them.
+BATCH, EXPAND, ENTRIES, ENTER = 512, 8, 8, 16
+#: Members that an insertion searches without a walk.
+PLAIN = 1 << 15
 _LAYERS = 1 / np.log(16)
 
 
@@ -35,49 +44,115 @@ def usable(col: Column) -> Column:
     return col.isNotNull() & good & F.exists(col, lambda x: x != 0)
 
 
-def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row the k nearest other rows, nearest first, with squared distances."""
-    n, norm = len(x), (x * x).sum(1)
-    ids, dist = np.empty((n, k), np.int32), np.empty((n, k), np.float32)
-    for lo in range(0, n, 512):
-        d = norm[lo : lo + 512, None] + norm - 2 * (x[lo : lo + 512] @ x.T)
-        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
-        at = np.argpartition(d, k - 1, axis=1)[:, :k]
-        near = np.take_along_axis(d, at, 1)
-        order = np.argsort(near, axis=1, kind="stable")
-        ids[lo : lo + 512], dist[lo : lo + 512] = np.take_along_axis(at, order, 1), np.take_along_axis(near, order, 1)
+def _diverse(x: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> np.ndarray:
+    """Which of each row's candidates (nearest first, -1 beyond) it links to: those that no kept one is nearer to, LINKS at most."""
+    keep = np.zeros(ids.shape, bool)
+    for lo in range(0, len(ids), 256):
+        near = x[ids[lo : lo + 256]]
+        norm = (near * near).sum(2)
+        apart = norm[:, :, None] + norm[:, None] - 2 * near @ near.transpose(0, 2, 1)
+        kept, d = keep[lo : lo + 256], dist[lo : lo + 256]
+        for j in range(ids.shape[1]):
+            shadowed = (kept[:, :j] & (apart[:, j, :j] < d[:, j, None])).any(1)
+            kept[:, j] = np.isfinite(d[:, j]) & ~shadowed & (kept.sum(1) < LINKS)
+    return keep
+
+
+def _merged(d: np.ndarray, size: int, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The `size` least of each row of d, in any order, and the same places of the others."""
+    if d.shape[1] <= size:
+        return d, *others
+    at = np.argpartition(d, size - 1, axis=1)[:, :size]
+    return tuple(np.take_along_axis(a, at, 1) for a in (d, *others))
+
+
+def _sweep(q: np.ndarray, x: np.ndarray, links: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best members found from each query's starts (-1: none), nearest first (-1 beyond), and their squared distances.
+
+    All queries go in step; each step opens the EXPAND nearest members of the beam that are not open yet.
+    """
+    m, beam = len(start), max(beam, start.shape[1])
+    seen = np.zeros((m, len(x)), bool)
+    ids = np.full((m, beam), -1, np.int32)
+    dist = np.full(ids.shape, np.inf, np.float32)
+    done = np.ones(ids.shape, bool)
+    r, c = np.nonzero(start >= 0)
+    seen[r, start[r, c]] = True
+    ids[r, c], done[r, c] = start[r, c], False
+    dist[r, c] = ((x[start[r, c]] - q[r]) ** 2).sum(1)
+    live = np.arange(m)
+    while len(live):
+        open_dist = np.where(done[live], np.inf, dist[live])
+        at = np.argpartition(open_dist, EXPAND - 1, axis=1)[:, :EXPAND] if beam > EXPAND else np.broadcast_to(np.arange(beam), open_dist.shape)
+        some = np.isfinite(np.take_along_axis(open_dist, at, 1))
+        more = some.any(1)
+        live, at, some = live[more], at[more], some[more]
+        if not len(live):
+            break
+        r, c = np.nonzero(some)
+        done[live[r], at[r, c]] = True
+        near = links[np.where(some, np.take_along_axis(ids[live], at, 1), 0)]
+        near[~some] = -1
+        near = np.sort(near.reshape(len(live), -1), axis=1)
+        fresh = near >= 0
+        fresh[:, 1:] &= near[:, 1:] != near[:, :-1]  # several opened members may link one
+        fresh &= ~seen[live[:, None], near]
+        r, c = np.nonzero(fresh)
+        to = near[r, c]
+        seen[live[r], to] = True
+        d = np.full(near.shape, np.inf, np.float32)
+        d[r, c] = ((x[to] - q[live[r]]) ** 2).sum(1)
+        d, near, fresh = _merged(d, beam, near, fresh)
+        dist[live], ids[live], done[live] = _merged(np.concatenate([dist[live], d], 1), beam, np.concatenate([ids[live], near], 1), np.concatenate([done[live], ~fresh], 1))
+    order = np.argsort(dist, axis=1, kind="stable")
+    ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+    ids[~np.isfinite(dist)] = -1
     return ids, dist
 
 
-def _layer(x: np.ndarray) -> np.ndarray:
-    """(n, DEGREE) neighbours of one layer's members, -1 where there are fewer."""
+def _insert(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """(n, DEGREE) neighbours of one layer's members, -1 where there are fewer, nearest first.
+
+    Members are inserted in their order, in batches that double up to BATCH: each searches those before it,
+    meets its batch, links to the diverse ones of what it found, and they link back, the DEGREE nearest of
+    them. Among up to PLAIN members the search is a plain one, which costs less there than a walk; beyond, it
+    walks the graph from its own starts (places of earlier members; -1: the first member).
+    """
     n = len(x)
-    out = np.full((n, DEGREE), -1, np.int32)
-    k = min(NEAR, n - 1)
-    if k < 1:
-        return out
-    ids, dist = _nearest(x, k)
-    keep = np.zeros((n, k), bool)
-    for lo in range(0, n, 256):
-        near = x[ids[lo : lo + 256]]
-        norm = (near * near).sum(2)
-        apart = norm[:, :, None] + norm[:, None] - 2 * near @ near.transpose(0, 2, 1)
-        kept = keep[lo : lo + 256]
-        for j in range(k):
-            shadowed = (kept[:, :j] & (apart[:, j, :j] < dist[lo : lo + 256, j, None])).any(1)
-            kept[:, j] = ~shadowed & (kept.sum(1) < LINKS)
-    a, col = np.nonzero(keep)
-    b, d = ids[a, col], dist[a, col]
-    a, b, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
-    order = np.lexsort((b, d, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])  # both directions may have chosen a link; its copies tie and so adjoin
-    a, b = a[new], b[new]
-    place = np.arange(len(a)) - np.searchsorted(a, a)
-    fits = place < DEGREE
-    out[a[fits], place[fits]] = b[fits]
-    return out
+    links, apart = np.full((n, DEGREE), -1, np.int32), np.full((n, DEGREE), np.inf, np.float32)
+    lo = 1
+    while lo < n:
+        hi = min(n, lo + min(lo, BATCH))
+        q = x[lo:hi]
+        begin = np.where(start[lo:hi] < lo, start[lo:hi], -1)
+        begin[(begin < 0).all(1), 0] = 0
+        walks = lo > PLAIN
+        seen = x[lo if walks else 0 : hi]  # a batch meets its mates, and a small graph, without a walk
+        d = (q * q).sum(1)[:, None] + (seen * seen).sum(1) - 2 * q @ seen.T
+        d[np.arange(hi - lo), np.arange(len(seen) - (hi - lo), len(seen))] = np.inf
+        dist, ids = _merged(np.maximum(d, 0), NEAR, np.broadcast_to(np.arange(hi - len(seen), hi, dtype=np.int32), d.shape))
+        if walks:
+            found, far = _sweep(q, x[:lo], links[:lo], begin, BUILD)
+            dist, ids = _merged(np.concatenate([dist, far], 1), NEAR, np.concatenate([ids, found], 1))
+        order = np.argsort(dist, axis=1, kind="stable")
+        ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+        a, col = np.nonzero(_diverse(x, ids, dist))
+        b, d = ids[a, col], dist[a, col]
+        a = a.astype(np.int32) + np.int32(lo)
+        # Links both ways, beside those that their members have.
+        touched = np.unique(b[b < lo])
+        r, c = np.nonzero(links[touched] >= 0)
+        a, b, d = np.concatenate([a, b, touched[r]]), np.concatenate([b, a, links[touched[r], c]]), np.concatenate([d, d, apart[touched[r], c]])
+        order = np.lexsort((b, d, a))
+        a, b, d = a[order], b[order], d[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])  # both directions may have chosen a link; its copies tie and so adjoin
+        a, b, d = a[new], b[new], d[new]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        fits = place < DEGREE
+        links[a[fits], place[fits]], apart[a[fits], place[fits]] = b[fits], d[fits]
+        lo = hi
+    return links
 
 
 class Graph:
@@ -91,14 +166,38 @@ class Graph:
     @classmethod
     def build(cls, vectors: np.ndarray, id_at: np.ndarray, ids: np.ndarray) -> Graph:
         small = (vectors / np.abs(vectors).max()).astype(np.float32)
-        u = (mix(ids[id_at[:-1]].astype(np.uint64) + np.uint64(11)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+        h = mix(ids[id_at[:-1]].astype(np.uint64) + np.uint64(11))
+        u = (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
         level = np.floor(-np.log(u + 1e-18) * _LAYERS).astype(int)
-        layers = []
-        for height in range(level.max() + 1):
+        layers: list[tuple[np.ndarray, np.ndarray]] = []
+        for height in range(level.max(), -1, -1):
             members = np.flatnonzero(level >= height)
-            layers.append((members.astype(np.int32), _layer(small[members])))
+            # Members of higher layers come first, so that all others can start from those that they find there.
+            order = members[np.lexsort((h[members], -level[members]))]
+            start = np.full((len(order), ENTRIES), -1, np.int64)
+            place = np.empty(len(vectors), np.int64)
+            place[order] = np.arange(len(order))
+            if layers and len(order) > PLAIN:
+                fresh = np.flatnonzero(level[order] == height)
+                for lo in range(0, len(fresh), BATCH):
+                    at = fresh[lo : lo + BATCH]
+                    found = cls._descend(small[order[at]], small, layers, ENTER)[:, :ENTRIES]
+                    start[at] = np.where(found < 0, -1, place[found])
+            links = _insert(small[order], start)
+            # Stored by the order of nodes.
+            links = np.where(links < 0, -1, np.searchsorted(members, order[links])).astype(np.int32)
+            layers.insert(0, (members.astype(np.int32), links[np.argsort(order, kind="stable")]))
         return cls(vectors, id_at, ids, layers)
 
+    @staticmethod
+    def _descend(q: np.ndarray, small: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], beam: int) -> np.ndarray:
+        """Nodes found nearest to each query in the lowest of these upper layers, entered from the highest; -1 beyond."""
+        start = np.full((len(q), 1), layers[-1][0][0], np.int64)
+        for members, links in reversed(layers):
+            found, _ = _sweep(q, small[members], links, np.where(start < 0, -1, np.searchsorted(members, start)), beam)
+            start = np.where(found < 0, -1, members[found])
+        return start
+
     def to_bytes(self) -> bytes:
         parts = [np.array([len(self.vectors), self.vectors.shape[1], len(self.ids), len(self.layers), *(len(m) for m, _ in self.layers)], np.int64), self.vectors, self.id_at.astype(np.int64), self.ids.astype(np.int64)]
         for members, links in self.layers:
@@ -120,54 +219,18 @@ class Graph:
         vectors, id_at, ids = read(np.float64, n * dim).reshape(n, dim), read(np.int64, n + 1), read(np.int64, n_ids)
         return cls(vectors, id_at, ids, [(read(np.int32, m), read(np.int32, m * DEGREE).reshape(m, DEGREE)) for m in sizes])
 
-    def _sweep(self, q: np.ndarray, x: np.ndarray, links: np.ndarray, start: np.ndarray, beam: int) -> np.ndarray:
-        """Best members found from each query's starts (-1: none), nearest first, -1 beyond. All queries go in step."""
-        m, width = start.shape
-        seen = np.zeros((m, len(x)), bool)
-        ids = np.full((m, max(beam, width)), -1, np.int32)
-        dist = np.full(ids.shape, np.inf, np.float32)
-        done = np.ones(ids.shape, bool)
-        r, c = np.nonzero(start >= 0)
-        seen[r, start[r, c]] = True
-        ids[r, c], done[r, c] = start[r, c], False
-        dist[r, c] = ((x[start[r, c]] - q[r]) ** 2).sum(1)
-        beam = ids.shape[1]
-        live = np.arange(m)
-        while len(live):
-            open_dist = np.where(done[live], np.inf, dist[live])
-            at = open_dist.argmin(1)
-            more = np.isfinite(open_dist[np.arange(len(live)), at])
-            live, at = live[more], at[more]
-            if not len(live):
-                break
-            done[live, at] = True
-            near = links[ids[live, at]]
-            fresh = (near >= 0) & ~seen[live[:, None], near]
-            r, c = np.nonzero(fresh)
-            to = near[r, c]
-            seen[live[r], to] = True
-            d = np.full(near.shape, np.inf, np.float32)
-            d[r, c] = ((x[to] - q[live[r]]) ** 2).sum(1)
-            all_d = np.concatenate([dist[live], d], 1)
-            best = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
-            dist[live] = np.take_along_axis(all_d, best, 1)
-            ids[live] = np.take_along_axis(np.concatenate([ids[live], near], 1), best, 1)
-            done[live] = np.take_along_axis(np.concatenate([done[live], ~fresh], 1), best, 1)
-        ids[~np.isfinite(dist)] = -1
-        return ids
-
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query id, id, score) of each query's k nearest other ids in this graph."""
         out: list[tuple] = []
         for lo in range(0, len(queries), 256):
             exact, own = queries[lo : lo + 256], query_ids[lo : lo + 256]
             q = np.clip(exact / self.scale, -1e15, 1e15).astype(np.float32)
-            start = np.full((len(q), 1), self.layers[-1][0][0], np.int32)
-            for height in range(len(self.layers) - 1, -1, -1):
-                members, links = self.layers[height]
-                at = np.where(start < 0, -1, np.searchsorted(members, start))
-                found = self._sweep(q, self.small[members], links, at, UPPER if height else max(beam, k + 1))
-                start = np.where(found < 0, -1, members[found])
+            members, links = self.layers[0]
+            if len(self.layers) > 1:
+                start = self._descend(q, self.small, self.layers[1:], UPPER)
+            else:
+                start = np.zeros((len(q), 1), np.int64)
+            found, _ = _sweep(q, self.small, links, start, max(beam, k + 1))
             for i, nodes in enumerate(found):
                 nodes = nodes[nodes >= 0]
                 score = np.sqrt(((self.vectors[nodes] - exact[i]) ** 2).sum(1))
@@ -193,12 +256,15 @@ def _nodes(df: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     return ranked.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("vec"))
 
 
-def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD) -> DataFrame:
+def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest other rows. is_query: of the column `id`."""
     nodes = materialize(_nodes(df, id_col, vec_col, k), "ann-nodes")
-    most = F.greatest(F.lit(1024), F.least(F.lit(shard_rows), F.floor(F.lit(1 << 24) / F.col("dim")))) if shard_rows >= 1024 else F.lit(shard_rows)
-    shards = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("shards"))
-    dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards")).cast("int"))
+    n = F.count(F.lit(1))
+    most = F.lit(shard_rows) if shard_rows else F.greatest(F.lit(1024), F.least(F.greatest(F.lit(SHARD), ROOT * F.sqrt(n)), F.lit(MOST_ROWS), F.floor(F.lit(MOST_NUMBERS) / F.col("dim"))))
+    shards = nodes.groupBy("dim").agg(F.ceil(n / most).cast("int").alias("shards"))
+    tasks = min(2 * int(shards.agg(F.sum("shards")).collect()[0][0] or 1), MOST_TASKS)
+    # Builds are dealt to tasks by number, as their input is small for the work that it makes.
+    dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards")).cast("int")).repartition(tasks, "dim", "shard")
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         dim = key[0].as_py()
@@ -211,7 +277,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
         graph = Graph.build(_matrix(rows["vec"], dim), at, lists.flatten().to_numpy())
         return pa.table({"dim": [dim], "shard": pa.array([key[1].as_py()], pa.int32()), "graph": pa.array([graph.to_bytes()], pa.large_binary())}).cast(pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("graph", pa.binary())]))
 
-    index = materialize(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "ann-index")
+    index = materialize(dealt.select("dim", "shard", "vec", "ids").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "ann-index")
 
     asked = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     asked = asked.filter(is_query).filter(usable(F.col("vec"))).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0))).dropDuplicates(["id", "vec"])
@@ -229,6 +295,6 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
         a, b, c = graph.search(ids, vecs, k)
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 
-    found = index.join(packed, ["dim", "shard"]).groupBy("dim", "shard", "block").applyInArrow(find, "query_id long, vec_id long, score double")
+    found = index.join(packed, ["dim", "shard"]).repartition(tasks, "dim", "shard", "block").groupBy("dim", "shard", "block").applyInArrow(find, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
