@@ -113,22 +113,23 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     def found(column: pa.Array) -> pa.Array:
         return pa.array([x.tobytes() for x in features(column)], pa.binary())
 
-    rows = sample(docs, labels, usable, label_col, SAMPLE, found, "binary", SAMPLE_BYTES).rename_columns(["y", "weight", "found"]).to_pylist()
-    if len({r["y"] for r in rows}) < 2:
+    rows = sample(docs, labels, usable, label_col, SAMPLE, found, "binary", SAMPLE_BYTES)
+    y, weight, column = rows["y"].to_numpy(), rows["weight"].to_numpy(), rows["x"].combine_chunks()
+    if len(set(y.tolist())) < 2:
         return None
-    rows.sort(key=lambda r: (r["found"], r["y"]))
-    mean = sum(r["weight"] for r in rows) / len(rows)
-    seen = np.zeros(BUCKETS, np.int32)
-    for r in rows:
-        seen[np.frombuffer(r["found"], np.int32)] += 1
-    for r in rows:
-        found = np.frombuffer(r["found"], np.int32)
-        r["found"] = np.append(found[seen[found] >= SEEN], BUCKETS)
+    _, ends, data = column.cast(pa.large_binary()).buffers()
+    flat = np.frombuffer(data or b"", np.int32)
+    cut = np.frombuffer(ends, np.int64, len(column) + 1, column.offset * 8) // 4
+    frequent = np.bincount(flat, minlength=BUCKETS) >= SEEN
+    texts = [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    texts = [np.append(t[frequent[t]], np.int32(BUCKETS)) for t in texts]
+    # Tasks end in any order; the order in which rows are learned shall not depend on it.
+    first = np.lexsort((y, [int(mix(t.astype(_U)).sum(dtype=_U)) >> 1 for t in texts]))
+    weight = weight / weight.mean()
     model, order = Ftrl(), np.random.default_rng(7)
     for _ in range(EPOCHS):
-        for i in order.permutation(len(rows)):
-            r = rows[i]
-            model.update(r["found"], r["y"], r["weight"] / mean)
+        for i in first[order.permutation(len(texts))].tolist():
+            model.update(texts[i], int(y[i]), float(weight[i]))
     return model.sparse()
 
 
