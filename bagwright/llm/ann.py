@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bagwright.llm.common import materialize
 from bagwright.llm.textscan import mix
@@ -248,10 +249,17 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, vec) of the rows that take part, each once; components keep their width where they are floating, -0 is 0."""
+    kind = df.schema[vec_col].dataType.elementType
+    kind = kind if isinstance(kind, T.FloatType) else T.DoubleType()
+    src = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(T.ArrayType(kind)).alias("vec"))
+    return src.filter(usable(F.col("vec"))).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast(kind)))
+
+
 def _nodes(df: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """(vec, dim, ids): each distinct vector with its k + 1 smallest ids."""
-    src = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    src = src.filter(usable(F.col("vec"))).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0))).dropDuplicates(["id", "vec"])
+    src = _vectors(df, id_col, vec_col).dropDuplicates(["id", "vec"])
     ranked = src.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).filter(F.col("r") <= k + 1)
     return ranked.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("vec"))
 
@@ -279,8 +287,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
 
     index = materialize(dealt.select("dim", "shard", "vec", "ids").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "ann-index")
 
-    asked = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    asked = asked.filter(is_query).filter(usable(F.col("vec"))).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0))).dropDuplicates(["id", "vec"])
+    asked = _vectors(df, id_col, vec_col).filter(is_query).dropDuplicates(["id", "vec"])
     asked = asked.withColumn("dim", F.size("vec")).join(shards, "dim")
     blocks = F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")
     asked = asked.join(asked.groupBy("dim").agg(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -291,7 +298,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
         graph = Graph.from_bytes(rows["graph"][0].as_py())
         asked = rows["asked"].combine_chunks().flatten()
         ids = asked.field("id").to_numpy()
-        vecs = asked.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), key[0].as_py())
+        vecs = asked.field("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), key[0].as_py())
         a, b, c = graph.search(ids, vecs, k)
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 
