@@ -10,7 +10,8 @@ that the one above it gave, so that a group of near copies that links only itsel
 Shards' results are merged. Scores are recomputed in double precision from the original components.
 
 Vectors that are null or empty, zero, or hold null or non-finite components take no part, nor do rows
-without id. Vectors of different length never meet. Exactly repeated rows count once. Ties go to the
+without id. Vectors of different length never meet. Exactly repeated rows count once; vectors are told apart
+by two 64-bit hashes. Ties go to the
 smaller id. Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -30,9 +31,9 @@ SHARD, ROOT, MOST_ROWS, MOST_NUMBERS, BLOCK = 8192, 32, 1 << 16, 1 << 24, 2048
 #: Tasks that build shards, at most.
 MOST_TASKS = 20_000
 #: Links a member chooses, candidates it chooses from, links it holds; beams of inserting and of searching.
-LINKS, NEAR, DEGREE, BUILD, BEAM = 20, 64, 48, 64, 128
+LINKS, NEAR, DEGREE, BUILD, BEAM = 20, 40, 40, 48, 128
 #: The beam in upper layers.
-UPPER = NEAR + 1
+UPPER = 65
 #: Members inserted at once at most, members opened in a step, members of the layer above that an insertion starts from, and the beam that finds them.
 BATCH, EXPAND, ENTRIES, ENTER = 512, 8, 8, 16
 #: Members that an insertion searches without a walk.
@@ -41,8 +42,10 @@ _LAYERS = 1 / np.log(16)
 
 
 def usable(col: Column) -> Column:
-    good = F.forall(col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return col.isNotNull() & good & F.exists(col, lambda x: x != 0)
+    """Whether a vector takes part. The search for NaN finds it, or is NULL where a component is."""
+    least, most, inf = F.array_min(col), F.array_max(col), float("inf")
+    solid = ~F.array_contains(col, F.lit(float("nan"))) & (least > -inf) & (most < inf)
+    return F.coalesce(solid & ((least != 0) | (most != 0)), F.lit(False))
 
 
 def _diverse(x: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> np.ndarray:
@@ -250,29 +253,30 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def _vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) of the rows that take part, each once; components keep their width where they are floating, -0 is 0."""
+    """(id, vec, h, g) of the rows that take part, with two hashes that tell vectors apart (-0 is 0); components keep their width where they are floating."""
     kind = df.schema[vec_col].dataType.elementType
     kind = kind if isinstance(kind, T.FloatType) else T.DoubleType()
     src = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(T.ArrayType(kind)).alias("vec"))
-    return src.filter(usable(F.col("vec"))).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast(kind)))
+    return src.filter(usable(F.col("vec"))).withColumns({"h": F.xxhash64("vec"), "g": F.xxhash64(F.lit(1), "vec")})
 
 
-def _nodes(df: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """(vec, dim, ids): each distinct vector with its k + 1 smallest ids."""
-    src = _vectors(df, id_col, vec_col).dropDuplicates(["id", "vec"])
-    ranked = src.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).filter(F.col("r") <= k + 1)
-    return ranked.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("vec"))
+def _nodes(vectors: DataFrame, k: int) -> DataFrame:
+    """(h, g, vec, dim, ids): each distinct vector with its k + 1 smallest ids. Vectors move once, one a task of those that are equal."""
+    vecs = vectors.groupBy("h", "g").agg(F.first("vec").alias("vec"))
+    ranked = vectors.select("h", "g", "id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))).filter(F.col("r") <= k + 1)
+    ids = ranked.groupBy("h", "g").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return vecs.join(ids, ["h", "g"]).withColumn("dim", F.size("vec"))
 
 
 def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest other rows. is_query: of the column `id`."""
-    nodes = materialize(_nodes(df, id_col, vec_col, k), "ann-nodes")
+    nodes = materialize(_nodes(_vectors(df, id_col, vec_col), k), "ann-nodes")
     n = F.count(F.lit(1))
     most = F.lit(shard_rows) if shard_rows else F.greatest(F.lit(1024), F.least(F.greatest(F.lit(SHARD), ROOT * F.sqrt(n)), F.lit(MOST_ROWS), F.floor(F.lit(MOST_NUMBERS) / F.col("dim"))))
     shards = nodes.groupBy("dim").agg(F.ceil(n / most).cast("int").alias("shards"))
     tasks = min(2 * int(shards.agg(F.sum("shards")).collect()[0][0] or 1), MOST_TASKS)
     # Builds are dealt to tasks by number, as their input is small for the work that it makes.
-    dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards")).cast("int")).repartition(tasks, "dim", "shard")
+    dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod("h", F.col("shards")).cast("int")).repartition(tasks, "dim", "shard")
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         dim = key[0].as_py()
@@ -287,7 +291,8 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
 
     index = materialize(dealt.select("dim", "shard", "vec", "ids").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "ann-index")
 
-    asked = _vectors(df, id_col, vec_col).filter(is_query).dropDuplicates(["id", "vec"])
+    picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).filter(is_query)
+    asked = _vectors(picked, "id", "vec").dropDuplicates(["id", "h", "g"]).select("id", "vec")
     asked = asked.withColumn("dim", F.size("vec")).join(shards, "dim")
     blocks = F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")
     asked = asked.join(asked.groupBy("dim").agg(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
