@@ -12,8 +12,8 @@ rare token or a pair: were it otherwise, the set whose prefix ends first would m
 other. Groups are chosen so that pairs stay proportional to the prefix; as that depends on the size,
 sets index their pairs for their size band and the next, where any partner has to meet them.
 
-Frequencies come from one count sketch over all texts with a fixed number of cells, so that what is
-broadcast is bounded. Wrong counts change which tokens are indexed, never the result: classes are the
+Frequencies come from one count sketch over all texts. Its cells grow with the texts, within what a task
+can hold and the driver broadcast; beyond that bound only more frequent tokens count as such. Wrong counts change which tokens are indexed, never the result: classes are the
 same for all sets, and every candidate is verified on the whole sets.
 
 Buckets are not expanded into rows of pairs, and of buckets with the same members one stays. First each
@@ -49,7 +49,9 @@ from bagwright.llm.common import discard, map_batches, materialize, small_batche
 from bagwright.llm.components import components
 from bagwright.llm.textscan import mix, sets
 
-CELLS, SLICES, BLOCK = 1 << 22, 64, 4096
+SLICES, BLOCK = 64, 4096
+#: Cells of the sketch: one for each CELL_BYTES of text (about 16 tokens), from CELLS to MOST_CELLS; a task holds 2 bytes of each.
+CELL_BYTES, CELLS, MOST_CELLS = 112, 1 << 22, 1 << 25
 #: Of the buckets that a member is in, this many first ones come along, to tell where a pair has met before.
 FIRST_SIGS = 24
 #: A round by nearest partners is followed by another while at least this share of its pairs link.
@@ -61,11 +63,12 @@ BROADCAST_ROWS = 1 << 20
 _U = np.uint64
 
 
-def node_of(s: np.ndarray, salt: int = 0) -> int:
-    """One hash of a whole set, as a signed integer; another one for each salt."""
+def node_of(s: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """Two hashes of a whole set, as signed integers, of its tokens' sum and exclusive or; others for each salt."""
     s = mix(s + _U(salt))
-    total = int(s.sum(dtype=_U)) ^ int(np.bitwise_xor.reduce(mix(s ^ _U(0x5851F42D4C957F2D)))) + len(s)
-    return int(mix(np.array([total & (1 << 64) - 1], _U)).view(np.int64)[0])
+    total, crossed = int(s.sum(dtype=_U)) + len(s), int(np.bitwise_xor.reduce(mix(s ^ _U(0x5851F42D4C957F2D))))
+    both = np.array([(total ^ crossed) & (1 << 64) - 1, (total + 3 * crossed) & (1 << 64) - 1], _U)
+    return tuple(mix(both).view(np.int64).tolist())
 
 
 def _gather(df: DataFrame, arrays, add) -> list[bytes]:
@@ -92,7 +95,7 @@ def _gather(df: DataFrame, arrays, add) -> list[bytes]:
 
         full = [a.reshape(SLICES, -1) for a in arrays(seen())]
         if task:
-            yield pa.RecordBatch.from_pylist([pack(i, task[0], [a[i] for a in full]) for i in range(SLICES)], schema)
+            yield pa.RecordBatch.from_pylist([pack(i, task[0], [a[i].astype(k, copy=False) for a, k in zip(full, arrays.kinds, strict=True)]) for i in range(SLICES)], schema)
         del full
         trim()
 
@@ -108,21 +111,29 @@ def _gather(df: DataFrame, arrays, add) -> list[bytes]:
     return [r["part"] for r in sorted(rows, key=lambda r: r["slice"])]
 
 
+def cell_count(df: DataFrame, text_col: str = "text") -> int:
+    """Cells of the sketch in proportion to the bytes of all texts, a power of two within bounds."""
+    size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).collect()[0][0] or 0
+    return min(max(CELLS, 1 << math.ceil(math.log2(max(size / CELL_BYTES, 1)))), MOST_CELLS)
+
+
 def frequency_classes(df: DataFrame, k: int, text_col: str = "text", cells: int = CELLS) -> tuple[bytes, int]:
     """A class (8 log2 of the count, at most 255) for each cell of token hashes, compressed; and the first frequent class."""
     shift = 64 - int(cells).bit_length() + 1
 
     def arrays(batches):
-        n = np.zeros(cells, np.uint32)
-        for batch in batches:
+        n = np.zeros(cells, np.uint16)
+        for number, batch in enumerate(batches):
             held, size = [], 0
             for s in itertools.chain(sets(batch.column(0), k), [None]):
                 if held and (s is None or size > 1 << 17):
-                    np.add.at(n, np.concatenate(held) >> _U(shift), np.uint32(1))
+                    np.add.at(n, np.concatenate(held) >> _U(shift), np.uint16(1))
                     held, size = [], 0
                 if s is not None:
                     held.append(s)
                     size += len(s)
+            if number % 8 == 7:  # a batch adds at most about ARROW_ROWS to a cell
+                np.minimum(n, 50_000, out=n)
         return [n]
 
     def add(old, new):
@@ -133,10 +144,13 @@ def frequency_classes(df: DataFrame, k: int, text_col: str = "text", cells: int
     found = _gather(df.select(F.col(text_col).cast("string").alias("text")), arrays, add)
     if not found:
         return zlib.compress(bytes(cells), 1), 256
-    counts = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in found])
-    mean = float(counts.mean())
-    of = np.minimum(np.floor(8 * np.log2(1 + counts.astype(np.float32))), 255).astype(np.uint8)
-    return zlib.compress(of.tobytes(), 1), math.ceil(8 * math.log2(1 + max(16.0, mean + 6 * math.sqrt(mean) + 16)))
+    total, packed, packer = 0, [], zlib.compressobj(1)
+    for part in found:
+        counts = np.frombuffer(zlib.decompress(part), np.uint32)
+        total += int(counts.sum(dtype=np.uint64))
+        packed.append(packer.compress(np.minimum(np.floor(8 * np.log2(1 + counts.astype(np.float32))), 255).astype(np.uint8).tobytes()))
+    mean = total / cells
+    return b"".join([*packed, packer.flush()]), math.ceil(8 * math.log2(1 + max(16.0, mean + 6 * math.sqrt(mean) + 16)))
 
 
 def _places(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,8 +247,9 @@ def index(df: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col:
             n, node, check, bits, sigs = [], [], [], [], []
             for s in sets(batch.column(2), k):
                 n.append(len(s))
-                node.append(node_of(s, salt) if len(s) else None)
-                check.append(node_of(s, salt + 1) if len(s) else None)
+                names = node_of(s, salt) if len(s) else (None, None)
+                node.append(names[0])
+                check.append(names[1])
                 bits.append(bitmap(s) if len(s) else None)
                 sigs.append(signatures(s, classes, shift, frequent_from, percent).view(np.int64))
             ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
@@ -290,7 +305,7 @@ def _token_sets(df: DataFrame, base: DataFrame, wanted: DataFrame, k: int, id_co
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = list(sets(batch.column(0), k))
-            return pa.RecordBatch.from_arrays([pa.array([node_of(s, salt) if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([node_of(s, salt)[0] if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "tokens"])
 
         return f
 
@@ -517,19 +532,20 @@ class _Joiner:
         return self.labels
 
 
-def join(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
+def join(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None) -> DataFrame:
     """(doc_id, t, n_shingles, component_id) of each row; t is a hash of its text."""
     return groups(df, k, percent, id_col, text_col, cells).drop("first")
 
 
-def groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS, salt: int = 0) -> DataFrame:
+def groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None, salt: int = 0) -> DataFrame:
     """join() with `first`, the (no_id, doc_id, t) of the row that leads its group: null ids last; null for an empty set."""
+    cells = cells or cell_count(df, text_col)
     base = materialize(index(df, k, percent, id_col, text_col, cells, salt), "jac-base")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
     nodes = base.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(row).alias("first"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     nodes = materialize(nodes, "jac-nodes")
     if not nodes.filter("lo <> hi").isEmpty():  # two sets have one hash: take another
-        return groups(df, k, percent, id_col, text_col, cells, salt + 2)
+        return groups(df, k, percent, id_col, text_col, cells, salt + 1)
     joiner = _Joiner(df, base, _shared(base), k, percent, id_col, text_col, salt)
     labels = joiner.run()
     if labels is None:
