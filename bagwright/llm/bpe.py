@@ -36,13 +36,14 @@ from bagwright.llm.common import map_batches, small_batches
 #: Words in the lexicon.
 LEXICON = 1 << 16
 #: Distinct pieces a counter or a worker's memo holds before it is passed on or cleared; longer pieces are not kept in the memo.
-MEMO, LONG = 200_000, 64
+MEMO, LONG = 1 << 20, 64
 #: Characters of a text that are cut into pieces at once.
 PART = 1 << 20
 #: Characters of text after which a counter is passed on too, as its pieces may be long.
-COUNTED = 1 << 25
+COUNTED = 1 << 26
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+_NONE = 1 << 40
 _CUT = re.compile(r" (?=\S)")
 _PLAIN = re.compile(r" (?:\s|$)")
 
@@ -141,6 +142,12 @@ class Vocabulary:
                     heapq.heappush(heap, (r[0], x, ids[x], ids[y], r[1]))
         return [i for i in ids if i >= 0]
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of pairs of ids and what they merge to; _NONE for pairs that do not merge."""
+        keys = a * self.size + b
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_rank[at], _NONE), self.pair_id[at]
+
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Exact merging of many words in step, as bytes of 32-bit ids.
 
@@ -158,20 +165,26 @@ class Vocabulary:
             for lo in range(0, len(members), 20_000):
                 part = np.array(members[lo : lo + 20_000])
                 grid = self.byte_ids[np.frombuffer(b"".join([words[i] for i in part.tolist()]), np.uint8)].reshape(len(part), width)
+                rank, new = self._ranks(grid[:, :-1], grid[:, 1:])
                 while len(part):
-                    keys = grid[:, :-1] * self.size + grid[:, 1:]
-                    at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-                    rank = np.where(self.pair_keys[at] == keys, self.pair_rank[at], 1 << 40)
-                    best = rank.argmin(1) if rank.shape[1] else np.zeros(len(part), np.int64)
-                    live = rank[np.arange(len(part)), best] < 1 << 40 if rank.shape[1] else np.zeros(len(part), bool)
-                    step, done = 4 * grid.shape[1], grid[~live].astype(np.int32).tobytes()
+                    n = grid.shape[1]
+                    best = rank.argmin(1) if n > 1 else np.zeros(len(part), np.int64)
+                    live = rank[np.arange(len(part)), best] < _NONE if n > 1 else np.zeros(len(part), bool)
+                    done = grid[~live].astype(np.int32).tobytes()
                     for k, i in enumerate(part[~live].tolist()):
-                        out[i] = done[k * step : (k + 1) * step]
-                    part, grid, best, at = part[live], grid[live], best[live], at[live]
+                        out[i] = done[4 * n * k : 4 * n * (k + 1)]
+                    if not live.any():
+                        break
+                    part, grid, rank, new, best = part[live], grid[live], rank[live], new[live], best[live]
                     row = np.arange(len(part))
-                    grid[row, best] = self.pair_id[at[row, best]]
-                    kept = np.arange(grid.shape[1]) != (best + 1)[:, None]
-                    grid = grid[kept].reshape(len(part), -1) if len(part) else grid
+                    grid[row, best] = new[row, best]
+                    # The pair goes with its right end; only the pairs on both sides of the new id have another rank.
+                    grid = grid[np.arange(n) != (best + 1)[:, None]].reshape(len(part), n - 1)
+                    kept = np.arange(n - 1) != best[:, None]
+                    rank, new = rank[kept].reshape(len(part), n - 2), new[kept].reshape(len(part), n - 2)
+                    for at in (best - 1, best):
+                        r = np.flatnonzero((at >= 0) & (at < n - 2))
+                        rank[r, at[r]], new[r, at[r]] = self._ranks(grid[r, at[r]], grid[r, at[r] + 1])
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -298,11 +311,14 @@ class Encoder:
         return out
 
     def piece_ids(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids, as bytes of 32-bit integers, of distinct pieces with their leading space."""
-        split = [PATTERN.findall(p) for p in pieces]
-        words = list({w for s in split for w in s})
+        """Ids, as bytes of 32-bit integers, of distinct pieces of cut(). One of plain letters is a word with its space."""
+        plain = [p for p in pieces if p.isascii() and p.isalpha()]
+        split = {p: PATTERN.findall(spelt(p)) for p in pieces if not (p.isascii() and p.isalpha())}
+        words = list(dict.fromkeys(itertools.chain((" " + p for p in plain), itertools.chain.from_iterable(split.values()))))
         by_word = dict(zip(words, self.word_ids([w.encode() for w in words]), strict=True))
-        return {p: by_word[s[0]] if len(s) == 1 else b"".join([by_word[w] for w in s]) for p, s in zip(pieces, split, strict=True)}
+        out = {p: by_word[" " + p] for p in plain}
+        out.update((p, by_word[s[0]] if len(s) == 1 else b"".join([by_word[w] for w in s])) for p, s in split.items())
+        return out
 
     def segments(self, text: str) -> list:
         """The text's stretches of ordinary text, and the ids of added tokens between them."""
@@ -352,10 +368,7 @@ class Encoder:
                     plan.append(pieces)
                     wanted.update(pieces)
             plans.append(plan)
-        fresh = [p for p in wanted if p not in memo]
-        whole = {p: spelt(p) for p in fresh}
-        by_text = self.piece_ids(list(set(whole.values())))
-        here = {p: by_text[w] for p, w in whole.items()}
+        here = self.piece_ids([p for p in wanted if p not in memo])
         memo.update((p, ids) for p, ids in here.items() if len(p) <= LONG)
         find = memo.__getitem__
         rare = {p: ids for p, ids in here.items() if len(p) > LONG}
@@ -374,10 +387,11 @@ def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
     small_batches(df.sparkSession)
 
     def words_of(seen: Counter) -> pa.RecordBatch:
-        words: Counter = Counter()
+        words: dict[str, int] = {}
+        find = words.get
         for piece, n in seen.items():
-            for w in PATTERN.findall(spelt(piece)):
-                words[w] += n
+            for w in (" " + piece,) if piece.isascii() and piece.isalpha() else PATTERN.findall(spelt(piece)):
+                words[w] = find(w, 0) + n
         some = [w for w in words if len(w) <= LONG]
         return pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([words[w] for w in some], pa.int64())], names=["word", "n"])
 
