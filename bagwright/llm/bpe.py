@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The corpus's most frequent words of at most LONG characters (counted exactly, over all texts; added
-tokens count as the text they are) are compiled with their ids into a minimal acyclic transducer: an
+The corpus's most frequent words of at most LONG characters (counted exactly, over all texts; taken in
+whole classes of like counts, LEXICON at most; added tokens count as the text they are) are compiled with their ids into a minimal acyclic transducer: an
 automaton that shares suffixes and whose arcs carry numbers that add up to the word's place in the list
 of id outputs. It is flat arrays in one block of bytes, which each worker maps from memory; lookups walk
 all words of a batch in step. Words that it lacks are merged exactly: the pair of the least rank first,
@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagwright.llm.common import map_batches, small_batches
+from bagwright.llm.common import discard, map_batches, materialize, small_batches
 
 #: Words in the lexicon.
 LEXICON = 1 << 16
@@ -433,8 +433,16 @@ class Bpe:
         self.name = hashlib.sha256(self.text + self.lexicon).hexdigest()
 
     def fit(self, df: DataFrame, text_col: str = "text", size: int = LEXICON) -> Bpe:
-        """Compiles the most frequent words of df."""
-        top = count_words(df, text_col).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow().column(0).to_pylist()
+        """Compiles the most frequent words of df, of those seen twice, in whole classes of like counts (64 a doubling)."""
+        counts = materialize(count_words(df, text_col).filter("n > 1").withColumn("class", F.floor(64 * F.log2("n")).cast("int")), "bpe-words")
+        room, least = size, None
+        for r in sorted(counts.groupBy("class").count().collect(), key=lambda r: -r["class"]):
+            room -= r["count"]
+            if room < 0:
+                break
+            least = r["class"]
+        top = counts.filter(F.col("class") >= F.lit(least)).select("word").toArrow().column(0).to_pylist()  # at most size
+        discard(counts)
         words = [w.encode() for w in top]
         ids = Vocabulary(self.text).merge(words)
         self.lexicon = build_transducer({w: np.frombuffer(i, np.int32).tolist() for w, i in zip(words, ids, strict=True)})
