@@ -422,7 +422,6 @@ class _Joiner:
         self.facts = materialize(own.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "jac-facts")
         self.labels: DataFrame | None = None
         self.sets: DataFrame | None = None
-        self.links: DataFrame | None = None
         self.used: list[DataFrame] = [self.facts, buckets]
 
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
@@ -459,11 +458,26 @@ class _Joiner:
         share = links.count() / max(pairs.count(), 1)
         if not share:
             return 0
-        self.links = links if self.links is None else self.links.unionAll(links)
-        discard(self.labels)
-        self.labels = components(self.links)
+        self.labels = self.merged(links)
         return share
 
+    def merged(self, links: DataFrame) -> DataFrame:
+        """Labels after new links: components of the links between labels, each link read once over all rounds."""
+        if self.labels is None:
+            return components(links)
+        old = self.labels.select("node", "label")
+        ends = links
+        for side in ("a", "b"):
+            mine = old.select(F.col("node").alias("n"), F.col("label").alias(f"l{side}"))
+            ends = ends.join(mine, F.col(side) == F.col("n"), "left").drop("n").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
+        new = components(self.keep(ends.filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "jac-contracted"))
+        alone = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(old, "node", "left_anti").select("node", F.col("node").alias("label"))
+        led = new.select(F.col("node").alias("n"), F.col("label").alias("least"))
+        out = old.unionAll(alone).join(led, F.col("label") == F.col("n"), "left").select("node", F.coalesce("least", "label").alias("label"))
+        out = materialize(out, "jac-labels")
+        discard(new, self.labels)
+        return out
+
     def star_round(self) -> None:
         """Verifies each node against one pseudo-random member of its buckets."""
         hubs = self.buckets.groupBy("sig").agg(F.min_by("node", F.xxhash64("node", F.lit(5))).alias("hub"))
