@@ -31,19 +31,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagwright.llm.common import discard, map_batches, materialize, small_batches
+from bagwright.llm.common import discard, map_batches, materialize, small_batches, trim
 
 #: Words in the lexicon.
 LEXICON = 1 << 16
-#: Distinct pieces a counter or a worker's memo holds before it is passed on or cleared; longer pieces are not kept in the memo.
-MEMO, LONG = 1 << 20, 64
+#: Distinct pieces a counter or a worker's memo holds before it is passed on or halved; longer pieces are not kept in the memo.
+MEMO, LONG = 1 << 18, 64
+#: Cells, a power of two, that tell a worker which pieces it has met.
+MET = 1 << 22
 #: Characters of a text that are cut into pieces at once.
 PART = 1 << 20
 #: Characters of text after which a counter is passed on too, as its pieces may be long.
 COUNTED = 1 << 26
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-_NONE = 1 << 40
+_NONE = 1 << 62
 _CUT = re.compile(r" (?=\S)")
 _PLAIN = re.compile(r" (?:\s|$)")
 
@@ -81,6 +83,11 @@ def parts(text: str) -> Iterator[str]:
     yield text[lo:]
 
 
+def plain(piece: str) -> bool:
+    """A piece of cut() that is one word with its space: letters of blocks that all versions of Unicode have alike."""
+    return piece.isalpha() and (piece.isascii() or max(piece) < "\u0250")
+
+
 def spelt(piece: str) -> str:
     """The text of a piece of cut()."""
     return "" if piece == " " else piece[1:] if piece[0] == "\n" else " " + piece
@@ -118,7 +125,10 @@ class Vocabulary:
         order = np.argsort(keys)
         self.pair_keys = keys[order]
         found = np.array(list(self.rank.values()), np.int64)[order]
-        self.pair_rank, self.pair_id = found[:, 0], found[:, 1]
+        # A pair's code orders as its rank does and holds what it merges to.
+        self.bits = self.size.bit_length()
+        self.pair_codes = found[:, 0] << self.bits | found[:, 1]
+        self.byte_codes = self._codes(self.byte_ids[:, None], self.byte_ids[None, :]).ravel()
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
 
     def merge_long(self, word: bytes) -> list[int]:
@@ -142,11 +152,11 @@ class Vocabulary:
                     heapq.heappush(heap, (r[0], x, ids[x], ids[y], r[1]))
         return [i for i in ids if i >= 0]
 
-    def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks of pairs of ids and what they merge to; _NONE for pairs that do not merge."""
+    def _codes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Codes of pairs of ids; _NONE for pairs that do not merge."""
         keys = a * self.size + b
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_rank[at], _NONE), self.pair_id[at]
+        return np.where(self.pair_keys[at] == keys, self.pair_codes[at], _NONE)
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Exact merging of many words in step, as bytes of 32-bit ids.
@@ -164,27 +174,26 @@ class Vocabulary:
         for width, members in lengths.items():
             for lo in range(0, len(members), 20_000):
                 part = np.array(members[lo : lo + 20_000])
-                grid = self.byte_ids[np.frombuffer(b"".join([words[i] for i in part.tolist()]), np.uint8)].reshape(len(part), width)
-                rank, new = self._ranks(grid[:, :-1], grid[:, 1:])
+                letters = np.frombuffer(b"".join([words[i] for i in part.tolist()]), np.uint8).reshape(len(part), width)
+                grid, code = self.byte_ids[letters], self.byte_codes[letters[:, :-1].astype(np.int64) << 8 | letters[:, 1:]]
                 while len(part):
                     n = grid.shape[1]
-                    best = rank.argmin(1) if n > 1 else np.zeros(len(part), np.int64)
-                    live = rank[np.arange(len(part)), best] < _NONE if n > 1 else np.zeros(len(part), bool)
+                    best = code.argmin(1) if n > 1 else np.zeros(len(part), np.int64)
+                    least = code[np.arange(len(part)), best] if n > 1 else np.full(len(part), _NONE)
+                    live = least < _NONE
                     done = grid[~live].astype(np.int32).tobytes()
                     for k, i in enumerate(part[~live].tolist()):
                         out[i] = done[4 * n * k : 4 * n * (k + 1)]
                     if not live.any():
                         break
-                    part, grid, rank, new, best = part[live], grid[live], rank[live], new[live], best[live]
-                    row = np.arange(len(part))
-                    grid[row, best] = new[row, best]
+                    part, grid, code, best = part[live], grid[live], code[live], best[live]
+                    grid[np.arange(len(part)), best] = least[live] & ((1 << self.bits) - 1)
                     # The pair goes with its right end; only the pairs on both sides of the new id have another rank.
                     grid = grid[np.arange(n) != (best + 1)[:, None]].reshape(len(part), n - 1)
-                    kept = np.arange(n - 1) != best[:, None]
-                    rank, new = rank[kept].reshape(len(part), n - 2), new[kept].reshape(len(part), n - 2)
+                    code = code[np.arange(n - 1) != best[:, None]].reshape(len(part), n - 2)
                     for at in (best - 1, best):
                         r = np.flatnonzero((at >= 0) & (at < n - 2))
-                        rank[r, at[r]], new[r, at[r]] = self._ranks(grid[r, at[r]], grid[r, at[r] + 1])
+                        code[r, at[r]] = self._codes(grid[r, at[r]], grid[r, at[r] + 1])
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -292,11 +301,15 @@ class Transducer:
 
 
 class Encoder:
-    """Texts to ids: a worker's memo of pieces over the lexicon over exact merging."""
+    """Texts to ids: a worker's memo of pieces over the lexicon over exact merging.
+
+    The memo keeps what is met a second time: most distinct pieces of a corpus occur once, and would fill it.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.memo: dict[str, bytes] = {}
+        self.met = bytearray(MET)
 
     def word_ids(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as bytes of 32-bit integers."""
@@ -311,12 +324,16 @@ class Encoder:
         return out
 
     def piece_ids(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids, as bytes of 32-bit integers, of distinct pieces of cut(). One of plain letters is a word with its space."""
-        plain = [p for p in pieces if p.isascii() and p.isalpha()]
-        split = {p: PATTERN.findall(spelt(p)) for p in pieces if not (p.isascii() and p.isalpha())}
-        words = list(dict.fromkeys(itertools.chain((" " + p for p in plain), itertools.chain.from_iterable(split.values()))))
+        """Ids, as bytes of 32-bit integers, of distinct pieces of cut()."""
+        whole, split = [], {}
+        for p in pieces:
+            if plain(p):
+                whole.append(p)
+            else:
+                split[p] = PATTERN.findall(spelt(p))
+        words = list(dict.fromkeys(itertools.chain([" " + p for p in whole], itertools.chain.from_iterable(split.values()))))
         by_word = dict(zip(words, self.word_ids([w.encode() for w in words]), strict=True))
-        out = {p: by_word[" " + p] for p in plain}
+        out = {p: by_word[" " + p] for p in whole}
         out.update((p, by_word[s[0]] if len(s) == 1 else b"".join([by_word[w] for w in s])) for p, s in split.items())
         return out
 
@@ -357,6 +374,7 @@ class Encoder:
             kept = list(itertools.islice(memo.items(), MEMO // 2))
             memo.clear()
             memo.update(kept)
+            self.met = bytearray(MET)
         plans, wanted = [], set()
         for text in texts:
             plan = []
@@ -369,13 +387,18 @@ class Encoder:
                     wanted.update(pieces)
             plans.append(plan)
         here = self.piece_ids([p for p in wanted if p not in memo])
-        memo.update((p, ids) for p, ids in here.items() if len(p) <= LONG)
+        memo.update(here)
         find = memo.__getitem__
-        rare = {p: ids for p, ids in here.items() if len(p) > LONG}
         out = []
         for plan in plans:
-            ids = b"".join(int(p).to_bytes(4, "little") if isinstance(p, int) else b"".join(map(find, p) if not rare else [rare[x] if x in rare else memo[x] for x in p]) for p in plan)
+            ids = b"".join(int(p).to_bytes(4, "little") if isinstance(p, int) else b"".join(map(find, p)) for p in plan)
             out.append(np.frombuffer(ids, np.int32))
+        met = self.met
+        for p in here:
+            cell = hash(p) % MET
+            if not met[cell] or len(p) > LONG:
+                del memo[p]
+            met[cell] = 1
         return out
 
 
@@ -390,12 +413,13 @@ def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
         words: dict[str, int] = {}
         find = words.get
         for piece, n in seen.items():
-            for w in (" " + piece,) if piece.isascii() and piece.isalpha() else PATTERN.findall(spelt(piece)):
+            for w in (" " + piece,) if plain(piece) else PATTERN.findall(spelt(piece)):
                 words[w] = find(w, 0) + n
         some = [w for w in words if len(w) <= LONG]
         return pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([words[w] for w in some], pa.int64())], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: Counter = Counter()
         read = 0
         for batch in batches:
@@ -408,6 +432,8 @@ def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
                         seen.clear()
                         read = 0
         yield words_of(seen)
+        seen.clear()
+        trim()
 
     return df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -423,6 +449,25 @@ def _worker(name: str, vocabulary: bytes, lexicon: bytes) -> Encoder:
     return _workers[name]
 
 
+def forget() -> None:
+    """Drops the encoder of an earlier fit from a Python worker, which outlives the query it was made for."""
+    if _workers:
+        _workers.clear()
+        trim()
+
+
+def _digest_columns(vocabulary: Vocabulary, doc_id: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    texts = (vocabulary.decode(i).decode("utf-8", "replace").encode() for i in ids)
+    return pa.RecordBatch.from_arrays(
+        [doc_id, pa.array([len(i) for i in ids], pa.int64()), pa.array([sha(vocabulary.decimals(i)) for i in ids], pa.string()), pa.array([sha(t) for t in texts], pa.string())],
+        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    )
+
+
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 class Bpe:
     """A tokenizer file with a lexicon. The file (a few MB) and the lexicon (LEXICON words) are broadcast."""
 
@@ -451,19 +496,29 @@ class Bpe:
 
     def encode(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, ids) of each row."""
+
+        def columns(vocabulary, doc_id, ids):
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([doc_id, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
+
+        return self._encoded(df, id_col, text_col, columns, "ids array<int>")
+
+    def encoded_digests(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """digests(encode(df)) by one Python worker a task instead of two: the ids are decoded where they are made."""
+        return self._encoded(df, id_col, text_col, _digest_columns, _DIGESTS)
+
+    def _encoded(self, df: DataFrame, id_col: str, text_col: str, columns, schema: str) -> DataFrame:
         shared, name = df.sparkSession.sparkContext.broadcast((self.text, self.lexicon)), self.name
 
         def make():
             encoder = _worker(name, *shared.value)
 
             def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-                ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
+                return columns(encoder.vocabulary, batch.column(0), encoder.encode([t or "" for t in batch.column(1).to_pylist()]))
 
             return f
 
-        return map_batches(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), make, f"doc_id {df.schema[id_col].dataType.simpleString()}, ids array<int>")
+        return map_batches(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), make, f"doc_id {df.schema[id_col].dataType.simpleString()}, {schema}")
 
     def _decoded(self, df: DataFrame, columns, schema: str) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast((self.text, self.lexicon))
@@ -491,13 +546,4 @@ class Bpe:
 
     def digests(self, df: DataFrame) -> DataFrame:
         """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids)."""
-
-        def columns(vocabulary, doc_id, ids):
-            sha = lambda x: hashlib.sha256(x).hexdigest()
-            texts = [vocabulary.decode(i).decode("utf-8", "replace").encode() for i in ids]
-            return pa.RecordBatch.from_arrays(
-                [doc_id, pa.array([len(i) for i in ids], pa.int64()), pa.array([sha(vocabulary.decimals(i)) for i in ids]), pa.array([sha(t) for t in texts])],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-        return self._decoded(df, columns, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+        return self._decoded(df, _digest_columns, _DIGESTS)

@@ -54,8 +54,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagwright.llm.bpe import Bpe
 
     docs = load(spark, sf_dir, "documents")
-    bpe = Bpe(public_tokenizers.path("byte_bpe_50k.json")).fit(docs)
-    return bpe.digests(bpe.encode(docs))
+    return Bpe(public_tokenizers.path("byte_bpe_50k.json")).fit(docs).encoded_digests(docs)
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -494,6 +494,44 @@ def test_bpe_query(docs, empty, tokenizer):
     assert none.digests(none.encode(empty)).count() == 0
 
 
+def test_bpe_digests_in_one_worker(spark, docs, empty, tokenizer):
+    model = bpe.Bpe(tokenizer[0]).fit(docs, size=50)
+    got = model.encoded_digests(docs)
+    want = model.digests(model.encode(docs))
+    assert got.schema == want.schema
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert model.encoded_digests(empty).count() == 0
+    # Python workers of one task run side by side and each holds the vocabulary, so one a task has to do.
+    import corpus_pipeline
+
+    plan = corpus_pipeline.encode(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow", plan)) == 1
+
+
+def test_memo_keeps_what_comes_again(tokenizer, monkeypatch):
+    vocabulary = bpe.Vocabulary(open(tokenizer[0], "rb").read())
+    once, again = [f"once{i}x" for i in range(20_000)], [f"again{i}x" for i in range(50)]
+    texts = [" ".join([*once[k : k + 200], *again, "<|endoftext|>", "long" * 40]) for k in range(0, len(once), 200)]
+    want = [tokenizer[1].encode(t, add_special_tokens=False).ids for t in texts]
+    e = bpe.Encoder(vocabulary, bpe.Transducer(bpe.build_transducer({})))
+    assert [e.encode([t])[0].tolist() for t in texts] == want
+    assert set(again[1:-1]) <= set(e.memo) and len(e.memo) < 1000 and max(map(len, e.memo)) <= bpe.LONG
+    monkeypatch.setattr(bpe, "MEMO", 20)  # halved again and again
+    assert [e.encode([t])[0].tolist() for t in texts] == want
+    assert len(e.memo) < 1000
+
+
+def test_counting_drops_the_encoders_of_earlier_fits(spark, docs, tokenizer):
+    def held(batches):
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(bpe._workers)], pa.int64())})
+
+    many = spark.range(40).repartition(40)
+    bpe.Bpe(tokenizer[0]).encoded_digests(docs.repartition(40)).collect()
+    assert max(r["n"] for r in many.mapInArrow(held, "n long").collect()) == 1
+    bpe.count_words(docs.repartition(40)).collect()
+    assert max(r["n"] for r in many.mapInArrow(held, "n long").collect()) == 0
+
+
 def test_words_are_counted_exactly(spark, monkeypatch):
     texts = [*TEXTS, *(f"thin{i % 40} two  spaces, {'long' * 20},tail{i % 3}" for i in range(160))]
     want = Counter(w for t in texts for w in bpe.PATTERN.findall(t or "") if len(w) <= bpe.LONG)
