@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Rows of text an Arrow batch holds at most; the default of 10,000 is too many for long texts.
 ARROW_ROWS = 500
+#: Rows of text that Parquet's reader decodes at once at most; the default of 4,096 takes a task's heap tens of MB, of long texts hundreds.
+READ_ROWS = 128
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +76,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def small_reads(spark: SparkSession) -> None:
+    """Bounds the rows that Parquet's reader decodes at once, unless the session has a smaller bound."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if not 0 < int(spark.conf.get(key, "4096")) <= READ_ROWS:
+        spark.conf.set(key, str(READ_ROWS))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with state: make() runs once per task and gives the function for its batches."""
     small_batches(df.sparkSession)

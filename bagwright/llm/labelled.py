@@ -69,8 +69,12 @@ def sample(
     most_bytes: int,
     id_col: str = "doc_id",
     text_col: str = "text",
+    files: int | None = None,
 ) -> pa.Table:
-    """(y, weight, x) of the sampled rows; x of the SQL type `kind` is what `features` gives for a text column. usable: of labels."""
+    """(y, weight, x) of the sampled rows; x of the SQL type `kind` is what `features` gives for a text column. usable: of labels.
+
+    files: of the scratch table at most, for narrow features; else one for each partition of a shuffle.
+    """
     known = labels.filter(usable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("key"), F.xxhash64(id_col).alias("h"))
     ids = limits(known.select("key", "h"), most)
     chosen = known.filter(within(F.col("key"), F.col("h"), ids)).select("id", "key").distinct()  # at most 2 * most
@@ -85,7 +89,8 @@ def sample(
 
     rows = map_batches(texts.select("key", F.xxhash64("id", "text").alias("h"), "text"), make, f"key int, h long, x {kind}")
     size = F.octet_length("x") if kind == "binary" else 8 * F.size("x")
-    rows = materialize(rows.dropDuplicates(["key", "h"]).withColumn("size", size), "labelled")
+    rows = rows.dropDuplicates(["key", "h"]).withColumn("size", size)
+    rows = materialize(rows.coalesce(files) if files else rows, "labelled")
     taken = rows.filter(within(F.col("key"), F.col("h"), limits(rows.select("key", "h"), most)))
     sizes = taken.select("key", "h", "size").toPandas()  # at most 2 * most narrow rows
     last = {}

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagwright.llm.common import map_batches
+from bagwright.llm.common import map_batches, small_reads
 from bagwright.llm.labelled import sample
 from bagwright.llm.textscan import LOWER, SPACE, Distinct, chunks, span_hashes, spans
 
@@ -188,7 +188,9 @@ class Additive:
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality") -> Additive | float:
     """The model; without labels of both classes the share of the one that there is, 0 without labels."""
-    rows = sample(docs, labels, usable, label_col, SAMPLE, lambda column: pa.array(list(features(column)), pa.list_(pa.float64())), "array<double>", SAMPLE_BYTES)
+    small_reads(docs.sparkSession)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    rows = sample(docs, labels, usable, label_col, SAMPLE, lambda column: pa.array(list(features(column)), pa.list_(pa.float64())), "array<double>", SAMPLE_BYTES, files=cores)
     y = rows["y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return float(y.max(initial=0))
@@ -199,6 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
 
 def score(docs: DataFrame, model: Additive | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of each row."""
+    small_reads(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

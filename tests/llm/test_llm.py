@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bagwright.llm import ann, bpe, chat, components, jaccard, langid, lines, media, mixing, quality, queries, textscan, toxicity
-from bagwright.llm.common import held_out
+from bagwright.llm.common import READ_ROWS, held_out
 from tests.conftest import bag, table
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -664,6 +664,46 @@ def test_sampled_rows_and_bytes_are_bounded(spark):
     assert sorted(map(str, labelled.sample(df.repartition(5), labels, F.lit(True), "quality", 200, features, "binary", 1 << 30).to_pylist())) == sorted(map(str, rows))
 
 
+def test_quality_writes_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, the sample's scratch table has no more files than there are cores, and all its rows."""
+    from bagwright.llm import labelled
+
+    files, sizes, write = [], [], labelled.materialize
+
+    def counted(df, tag):
+        out = write(df, tag)
+        files.append(len(out.inputFiles()))
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(labelled, "materialize", counted)
+    held = {"spark.sql.shuffle.partitions": "37", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+        df = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+        quality.learn(df, labels, F.lit(True))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sizes == [400]
+    assert len(files) == 1 and 0 < files[0] <= spark.sparkContext.defaultParallelism
+
+
+def test_quality_reads_few_rows_at_once(spark, docs):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    try:
+        for held, bound in (("4096", READ_ROWS), ("7", 7)):
+            spark.conf.set(key, held)
+            assert quality.score(docs, 0.5).count() == len(rows())
+            assert int(spark.conf.get(key)) == bound
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_quality_against_a_plain_loop():
     rng = np.random.default_rng(2)
     x = np.stack([rng.normal(size=400), rng.integers(0, 4, 400).astype(float), np.ones(400)], 1)
