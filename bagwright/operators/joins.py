@@ -112,6 +112,51 @@ def salted(big: DataFrame, small: DataFrame, key: str, salts: int, how: str = "i
     return a.join(b, [key, "_salt"], how).drop("_salt")
 
 
+#: Arrays that the right rows of one key are gathered in.
+BLOCKS = 16
+
+
+def few_keys(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", null_safe: bool = False) -> DataFrame:
+    """Equi-join on shared names whose few keys have many rows on both sides; they come out first and once. right is the smaller side.
+
+    Left rows are dealt over tiles by a hash of their values; right rows, gathered in arrays, are repeated in every
+    tile. So the pairs of one key are made by many tasks, one left row after another, by reading arrays. Right rows
+    without a partner are found apart, as no tile knows all of left.
+    """
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"not a join of these: {how}")
+    mine, other = ([c for c in d.columns if c not in on] for d in (left, right))
+    if clash := set(mine) & set(other):
+        raise ValueError(f"rename these first: {sorted(clash)}")
+    if not other:
+        raise ValueError("right has no columns of its own")
+    session = left.sparkSession
+    tiles = max(int(session.conf.get("spark.sql.shuffle.partitions")), 16 * session.sparkContext.defaultParallelism)
+    key = F.struct(*on)  # in a struct, null equals null
+    if not null_safe:
+        for c in on:
+            key = F.when(F.col(c).isNotNull(), key)
+
+    a = left.select(key.alias("_a"), F.pmod(F.xxhash64(*left.columns), F.lit(tiles)).cast("int").alias("_tile"), F.struct(*left.columns).alias("_left")).repartition(tiles, "_a", "_tile")
+    b = right.select(key.alias("_b"), F.pmod(F.xxhash64(*right.columns), F.lit(BLOCKS)).alias("_block"), F.struct(*other).alias("_row")).filter(F.col("_b").isNotNull())
+    b = b.groupBy("_b", "_block").agg(F.collect_list("_row").alias("_rows"))
+    plain = len(other) == 1  # read faster than structs
+    b = b.select("_b", F.col(f"_rows.{other[0]}" if plain else "_rows").alias("_rows"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("_copy")).repartition(tiles, "_b", "_copy").hint("merge")
+    kept = how in ("left", "full")
+    found = a.join(b, (F.col("_a") == F.col("_b")) & (F.col("_tile") == F.col("_copy")), "left" if kept else "inner")
+    pairs = found.select("_left", "_b", (F.explode_outer if kept else F.explode)("_rows").alias("_row"))
+    key_of = "_b" if how == "right" else "_left"
+    out = pairs.select(*[F.col(f"{key_of}.{c}") for c in on], *[F.col(f"_left.{c}") for c in mine], *[F.col("_row").alias(c) if plain else F.col(f"_row.{c}") for c in other])
+    if how in ("inner", "left"):
+        return out
+    known = left.select(*[F.col(c).alias(f"_a_{c}") for c in on]).distinct()
+    same = F.lit(True)
+    for c in on:
+        same = same & (F.col(c).eqNullSafe(F.col(f"_a_{c}")) if null_safe else F.col(c) == F.col(f"_a_{c}"))
+    alone = right.join(known, same, "left_anti")
+    return out.unionByName(alone.select(*on, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in mine], *other))
+
+
 def match_report(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """(side, status, n): matched, unmatched and null-keyed rows of either side."""
 

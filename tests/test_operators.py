@@ -42,6 +42,30 @@ def test_null_safe_join_matches_nulls(orders, customers):
     assert joins.null_safe(orders, customers, [("id", "cid")]).count() == 6
 
 
+FEW_LEFT = [(1, 1), (1, 1), (1, 2), (2, 3), (None, 4), (3, None)]
+FEW_RIGHT = [(1, 7, "x"), (1, 7, "x"), (1, None, None), (None, 8, "y"), (4, 9, "z"), (3, None, "w")]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+@pytest.mark.parametrize("columns", [["k", "w"], ["k", "w", "z"]])
+def test_few_keys_is_the_join(spark, how, columns):
+    left = spark.createDataFrame(FEW_LEFT, "k int, v int")
+    right = spark.createDataFrame(FEW_RIGHT, "k int, w int, z string").select(*columns)
+    for a, b in ((left, right), (left.limit(0), right), (left, right.limit(0))):
+        got = joins.few_keys(a, b, ["k"], how)
+        assert got.columns == ["k", "v", *columns[1:]] and bag(got) == bag(a.join(b, ["k"], how))
+        loud = b.withColumnRenamed("k", "k2")
+        want = joins.null_safe(a, loud, [("k", "k2")], how).select(F.coalesce("k", "k2").alias("k"), "v", *columns[1:])
+        assert bag(joins.few_keys(a, b, ["k"], how, null_safe=True)) == bag(want)
+
+
+def test_few_keys_spreads_one_key(spark):
+    """A key's pairs are made by many tasks, none of which makes them all."""
+    got = joins.few_keys(spark.range(4000).selectExpr("id DIV 4000 AS k", "id AS v"), spark.range(50).selectExpr("id DIV 50 AS k", "id AS w"), ["k"])
+    made = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(made) == 200_000 and len(made) >= 8 and max(made) < 60_000
+
+
 def test_asof_ties_nulls_and_empty(spark):
     left = spark.createDataFrame([(1, 5, "a"), (1, None, "b"), (None, 5, "c"), (2, 1, "d")], "k int, t int, x string")
     right = spark.createDataFrame([(1, 3, 1), (1, 5, 2), (1, 5, 7), (1, 6, 9), (None, 1, 4)], "k int, u int, v int")

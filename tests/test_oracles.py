@@ -23,3 +23,8 @@ def test_queries_without_sql_are_few(spark, data):
     assert rest == ["sample_bernoulli"]
     a, b = (queries.QUERIES["sample_bernoulli"](spark, data).collect() for _ in range(2))
     assert a == b and 0 < len(a) < 200
+
+
+@pytest.mark.parametrize("name", ["join_full"])
+def test_pairs_of_few_keys_are_made_by_many_tasks(spark, data, name):
+    assert queries.QUERIES[name](spark, data).rdd.getNumPartitions() >= 64
