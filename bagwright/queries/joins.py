@@ -64,7 +64,7 @@ def _(t):
 
 @query("join_full_using", f"SELECT k, c_custkey, s_suppkey FROM {A} x FULL JOIN {B} y USING (k)")
 def _(t):
-    return a(t).join(b(t), ["k"], "full")
+    return J.few_keys(a(t), b(t), ["k"], "full")
 
 
 @query("join_natural", f"SELECT k, c_custkey, s_suppkey FROM {A} x NATURAL JOIN {B} y")
