@@ -26,10 +26,10 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
     return left.join(right, condition, how)
 
 
-def natural(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Equality on all shared names, which come first and once; no shared name makes it a cross join."""
+def natural(left: DataFrame, right: DataFrame, how: str = "inner", by: Callable[..., DataFrame] = DataFrame.join) -> DataFrame:
+    """Equality on all shared names, which come first and once; no shared name makes it a cross join. by: DataFrame.join or few_keys."""
     shared = [c for c in left.columns if c in right.columns]
-    return left.join(right, shared, how) if shared else left.crossJoin(right)
+    return by(left, right, shared, how) if shared else left.crossJoin(right)
 
 
 def asof(

@@ -69,7 +69,7 @@ def _(t):
 
 @query("join_natural", f"SELECT k, c_custkey, s_suppkey FROM {A} x NATURAL JOIN {B} y")
 def _(t):
-    return J.natural(a(t), b(t))
+    return J.natural(a(t), b(t), by=J.few_keys)
 
 
 @query("join_natural_disjoint", "SELECT r_name, s_name FROM region CROSS JOIN (SELECT s_name FROM supplier)")
