@@ -84,7 +84,7 @@ def _(t):
 
 @query("join_nullsafe", f"SELECT c_custkey, s_suppkey FROM {A} x JOIN {B} y ON x.k IS NOT DISTINCT FROM y.k")
 def _(t):
-    return J.null_safe(a(t), b2(t), [("k", "k2")]).select("c_custkey", "s_suppkey")
+    return J.few_keys(a(t), b(t), ["k"], null_safe=True).select("c_custkey", "s_suppkey")
 
 
 @query("join_eq_or_null", f"SELECT n_nationkey, s_suppkey FROM (SELECT n_nationkey, nullif(n_regionkey, 0) AS k FROM nation) x JOIN {B} y ON x.k = y.k OR x.k IS NULL")
