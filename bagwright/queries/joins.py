@@ -59,7 +59,7 @@ def _(t):
 
 @query("join_using", f"SELECT k, c_custkey, s_suppkey FROM {A} x JOIN {B} y USING (k)")
 def _(t):
-    return a(t).join(b(t), ["k"])
+    return J.few_keys(a(t), b(t), ["k"])
 
 
 @query("join_full_using", f"SELECT k, c_custkey, s_suppkey FROM {A} x FULL JOIN {B} y USING (k)")
