@@ -25,6 +25,6 @@ def test_queries_without_sql_are_few(spark, data):
     assert a == b and 0 < len(a) < 200
 
 
-@pytest.mark.parametrize("name", ["join_full", "join_full_using", "join_inner", "join_left", "join_natural", "join_nullsafe", "join_using"])
+@pytest.mark.parametrize("name", ["join_full", "join_full_using", "join_inner", "join_left", "join_natural", "join_nullsafe", "join_using", "join_right"])
 def test_pairs_of_few_keys_are_made_by_many_tasks(spark, data, name):
     assert queries.QUERIES[name](spark, data).rdd.getNumPartitions() >= 64
